@@ -57,13 +57,13 @@ class Model:
 
 
 def discounts(n: tuple[int, ...]) -> tuple[float, float, float]:
-    """D1, D2 and D3+ from the counts of counts 1 to 4; where these are degenerate, one half."""
+    """D1, D2 and D3+ from the counts of counts 1 to 4, at least 0.1 so that every context leaves mass; where these are degenerate, one half."""
     n1, n2, n3, n4 = (float(x) for x in n[:4])
     if min(n1, n2, n3, n4) <= 0:
         return 0.5, 0.5, 0.5
     y = n1 / (n1 + 2 * n2)
     out = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.0), k) for k, d in enumerate(out, 1))  # type: ignore[return-value]
+    return tuple(min(max(d, 0.1), k) for k, d in enumerate(out, 1))  # type: ignore[return-value]
 
 
 def tokens_of(column: pa.Array):

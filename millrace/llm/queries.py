@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, packing, store, tokenfile
+from millrace.llm import bpe, language, linear, lm, packing, quality, store, tokenfile, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,33 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Chain:
+    labels = _table(spark, sf_dir, "labels").selectExpr("doc_id", "1 - quality AS low_quality", "toxic")
+    return toxicity.fit(docs, labels, ("low_quality", "toxic"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity_chain(spark, sf_dir, docs))
+    return found.select("doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"), (~F.col("is_toxic")).alias("kept"))
+
+
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = linear.fold_of(F.col("doc_id"), 5)
+    found = lm.score(docs, lm.fit(docs, fold != 1))
+    held = F.coalesce(linear.fold_of(F.col("doc_id"), 5) == 1, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+# The rules of the query: (verdict, host, path).
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), RULES, urls.fit())
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = store.Scratch(spark, "op4")
     files = tokenfile.write(_table(spark, sf_dir, "documents"), out.folder("tokens"), _vocabulary(), metadata=("lang", "source"), end_id=2)
@@ -33,10 +61,26 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = linear.fold_of(F.col("doc_id"), 3)
+    found = language.predict(docs, language.fit(docs, fold != 1))
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_kneser_ney": op2_kneser_ney,
+    "op3_url_filter": op3_url_filter,
     "op4_token_files": op4_token_files,
     "op5_bpe": op5_bpe,
     "op7_packing": op7_packing,
+    "op8_language": op8_language,
+    "op9_quality": op9_quality,
 }
 
 ORACLE: dict[str, str] = {}
