@@ -1,12 +1,38 @@
-"""A cleaning pipeline over documents: a list of named stages, each written and read again before the next."""
+"""A cleaning pipeline over documents: a list of named stages, each written and read again before the next.
+
+Stages handle null ids, texts and columns, empty tables and extra columns as the operators they call say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import jaccard, quality, queries, store, toxicity
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules go; where an id repeats, all its rows go if one fails. Null ids stay if nothing is known."""
+    failed = quality.assess(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(failed, "doc_id", "left_anti")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain, trained on those still there, calls toxic go."""
+    return toxicity.keep_clean(docs, queries.toxicity_chain(spark, sf_dir, docs))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: sets of five words, similarity of 0.8 or more."""
+    return jaccard.keep_one(docs, size=5, percent=80)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left."""
+    return queries.packed(docs)
 
-from millrace.llm import store
 
-STAGES: list = []
+STAGES: list = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
 
 ORACLE_SQL = None
 

@@ -96,7 +96,7 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
+    return keys[first], *[np.add.reduceat(v[order].astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64) for v in values]
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +179,8 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
             out.append(_row(shard, 9, files, np.array([*[(c == k).sum() for k in (1, 2, 3, 4)], len(c)], np.int64)))
             word, times = _counted(w[order])
             out += list(_send(1, shard_of(word, n), word, times))
-            v, *stats = summed(v[order], c, *[x.astype(np.uint32) for x in (c == 1, c == 2, c > 2)])
-            out += list(_send(2, shard_of(v, n), v, *stats))
+            v, total, *stats = summed(v[order], c, c == 1, c == 2, c > 2)
+            out += list(_send(2, shard_of(v, n), v, total, *[x.astype(np.uint32) for x in stats]))
         return pa.Table.from_batches(out, _ARROW) if out else _ARROW.empty_table()
 
     def rest(table: pa.Table) -> pa.Table:

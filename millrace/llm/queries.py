@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, language, linear, lm, packing, quality, store, tokenfile, toxicity, urls
+from millrace.llm import bpe, jaccard, language, linear, lm, packing, quality, store, tokenfile, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    return packing.pack(docs, _vocabulary()).selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
-    return packed.selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packed(_table(spark, sf_dir, "documents"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_kneser_ney": op2_kneser_ney,
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {}
