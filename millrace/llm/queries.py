@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, jaccard, language, linear, lm, packing, quality, store, tokenfile, toxicity, urls
+from millrace.llm import bpe, jaccard, language, linear, lm, neighbours, packing, quality, store, tokenfile, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _, _ = neighbours.near(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     return packing.pack(docs, _vocabulary()).selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_token_files": op4_token_files,
     "op5_bpe": op5_bpe,
+    "op6_neighbours": op6_neighbours,
     "op7_packing": op7_packing,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
