@@ -5,10 +5,82 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import columns as C
+from millrace.functions import text as T
+from millrace.operators import frame as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(name: str, table: str, make: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    if sql:
+        ORACLE[name] = sql
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    return QUERIES["describe_by_flag"](spark, sf_dir)
+
+
+def r(c, digits: int = 4):
+    return F.round(c, digits)
+
+
+query("describe_by_flag", "lineitem", lambda d: d.groupBy("l_returnflag").agg(F.count("*").alias("n"), r(F.avg("l_quantity")).alias("mean_quantity"), r(F.sum("l_extendedprice"), 2).alias("sum_price")),
+      "SELECT l_returnflag, count(*) n, round(avg(l_quantity),4) mean_quantity, round(sum(l_extendedprice),2) sum_price FROM lineitem GROUP BY 1")
+for _name, _spark, _sql in [
+    ("agg_count", lambda: F.count("l_quantity"), "count(l_quantity)"),
+    ("agg_mean", lambda: r(O.mean("l_extendedprice")), "round(sum(l_extendedprice)/count(*),4)"),
+    ("agg_median", lambda: O.upper_median("l_extendedprice"), "percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice DESC)"),
+    ("agg_sum", lambda: r(F.sum("l_quantity")), "round(sum(l_quantity),4)"),
+    ("agg_std", lambda: r(F.stddev_samp("l_extendedprice")), "round(stddev_samp(l_extendedprice),4)"),
+    ("agg_variance", lambda: r(F.var_samp("l_quantity")), "round(var_samp(l_quantity),4)"),
+    ("agg_min", lambda: F.min("l_shipdate"), "min(l_shipdate)"),
+    ("agg_max", lambda: F.max("l_extendedprice"), "max(l_extendedprice)"),
+    ("nunique", lambda: F.countDistinct("l_partkey"), "count(DISTINCT l_partkey)"),
+    ("argmax", lambda: F.max_by("l_orderkey", F.struct("l_extendedprice", "l_orderkey")), "arg_max(l_orderkey, (l_extendedprice, l_orderkey))"),
+]:
+    query(_name, "lineitem", lambda d, x=_spark: d.agg(x().alias("value")), f"SELECT {_sql} AS value FROM lineitem")
+query("agg_mode", "lineitem", lambda d: d.agg(O.mode("l_quantity").alias("value")), "SELECT l_quantity AS value FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")
+query("value_counts", "customer", lambda d: O.value_counts(d, "c_mktsegment"), "SELECT c_mktsegment, count(*) n FROM customer GROUP BY 1")
+query("unique", "orders", lambda d: d.select("o_orderpriority").distinct(), "SELECT DISTINCT o_orderpriority FROM orders")
+query("select_col", "orders", lambda d: d.select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders")
+query("drop_col", "part", lambda d: d.drop("p_name"), "SELECT * EXCLUDE (p_name) FROM part")
+query("get_row", "orders", lambda d: d.filter("o_orderkey = 7").select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7")
+query("astype", "customer", lambda d: d.select("c_custkey", F.col("c_nationkey").cast("string").alias("nation")), "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) nation FROM customer")
+query("abs_all", "customer", lambda d: d.select("c_custkey", F.abs("c_acctbal").alias("c_acctbal")), "SELECT c_custkey, abs(c_acctbal) c_acctbal FROM customer")
+query("clip", "customer", lambda d: d.select("c_custkey", C.clip(F.col("c_acctbal"), 0.0, 5000.0).alias("v")), "SELECT c_custkey, CASE WHEN c_acctbal IS NULL THEN 0.0::DOUBLE ELSE greatest(least(c_acctbal, 5000.0::DOUBLE), 0.0::DOUBLE) END v FROM customer")
+query("merge_col", "orders", lambda d: d.select("o_orderkey", F.concat_ws("-", "o_orderstatus", "o_orderpriority").alias("v")), "SELECT o_orderkey, concat_ws('-', o_orderstatus, o_orderpriority) v FROM orders")
+query("shape", "lineitem", lambda d: d.agg(F.count("*").alias("n_rows"), F.lit(len(d.columns)).cast("long").alias("n_cols")), None)
+query("items_unpivot", "part", lambda d: d.select("p_partkey", F.col("p_size").cast("double"), "p_retailprice").unpivot("p_partkey", ["p_size", "p_retailprice"], "name", "v"),
+      "SELECT p_partkey, 'p_size' AS name, CAST(p_size AS DOUBLE) v FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
+query("dropna_rows", "documents", lambda d: O.drop_null_rows(d.select("doc_id", "lang", "source")), "SELECT doc_id, lang, source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND doc_id IS NOT NULL")
+query("fillna_mode", "documents", lambda d: O.fill(d.select("doc_id", "lang"), "lang", "mode"), "SELECT doc_id, coalesce(lang, (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) lang FROM documents")
+query("fillna_value", "documents", lambda d: O.fill(d.select("doc_id", "source"), "source", "value", "none"), "SELECT doc_id, coalesce(source, 'none') source FROM documents")
+query("hstack_rows", "orders", lambda d: d.select("o_orderkey").union(d.select("o_custkey")), "SELECT o_orderkey FROM orders UNION ALL SELECT o_custkey FROM orders")
+query("vstack_cols", "orders", lambda d: d.select("o_orderkey", "o_custkey").join(d.select("o_orderkey", "o_totalprice"), "o_orderkey"), "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+query("head", "orders", lambda d: O.top_by(d.select("o_orderkey", "o_totalprice"), [F.col("o_orderkey")], 5), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 1 LIMIT 5")
+query("tail", "orders", lambda d: O.top_by(d.select("o_orderkey", "o_totalprice"), [F.col("o_orderkey").desc()], 5), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 1 DESC LIMIT 5")
+query("sigmoid", "events", lambda d: d.select("event_id", r(C.sigmoid(F.col("value") / 100), 6).alias("v")), "SELECT event_id, round(1/(1+exp(-(value/100))),6) v FROM events")
+query("one_hot_scalar", "embeddings", lambda d: d.select("vec_id", C.one_hot(F.col("label"), 10)[3].alias("is_3")), "SELECT vec_id, CAST(label = 3 AS INT) is_3 FROM embeddings")
+query("vec_dot", "embeddings", lambda d: d.select("vec_id", r(C.dot(F.col("embedding"), F.col("embedding"))).alias("v")), "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))),4) v FROM embeddings")
+query("one_hot_dataset", "customer", lambda d: O.one_hot(d.select("c_custkey", "c_mktsegment"), "c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]),
+      "SELECT c_custkey, " + ", ".join(f"CASE WHEN c_mktsegment='{v}' THEN 1 ELSE 0 END AS c_mktsegment_{v}" for v in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer")
+query("label_encode", "orders", lambda d: O.label_encode(d, "o_orderpriority", "o_orderkey"), "SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY min(o_orderkey), o_orderpriority) - 1 AS INT) code FROM orders GROUP BY 1")
+query("scale_minmax", "part", lambda d: O.min_max(d.select("p_partkey", "p_retailprice"), ["p_retailprice"]).withColumn("p_retailprice", r("p_retailprice", 6)), "SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 6) p_retailprice FROM part")
+query("scale_zscore", "part", lambda d: O.z_score(d.select("p_partkey", "p_retailprice"), ["p_retailprice"]).withColumn("p_retailprice", r("p_retailprice")), "SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 4) p_retailprice FROM part")
+query("train_test_split", "orders", lambda d: O.split(d.select("o_orderkey"), "o_orderkey", 0.75), "SELECT o_orderkey, CASE WHEN CAST('0x' || substr(md5(o_orderkey || ':0'), 1, 8) AS BIGINT) < 3221225472 THEN 'train' ELSE 'test' END split FROM orders")
+query("regression_metrics", "lineitem", lambda d: O.regression_metrics(d, F.col("l_extendedprice"), F.col("l_quantity") * 1500).select(*[r(c, 3).alias(c) for c in ("mae", "rmse", "r2", "msle")]),
+      "SELECT round(avg(abs(y-p)),3) mae, round(sqrt(avg((y-p)*(y-p))),3) rmse, round(1 - sum((y-p)*(y-p)) / (var_pop(y)*count(y)),3) r2, round(avg(pow(ln(1+y)-ln(1+p),2)),3) msle FROM (SELECT l_extendedprice y, l_quantity*1500 p FROM lineitem)")
+query("metric_confusion", "labels", lambda d: O.confusion(d, "quality", "toxic"), "SELECT quality truth, toxic predicted, count(*) n FROM labels GROUP BY 1, 2")
+query("metric_classes", "labels", lambda d: O.class_metrics(d, "quality", "toxic").select("label", r("precision").alias("precision"), r("recall").alias("recall")),
+      "SELECT l AS label, round(sum(CAST(quality=l AND toxic=l AS INT)) / nullif(sum(CAST(toxic=l AS INT)),0),4) AS precision, round(sum(CAST(quality=l AND toxic=l AS INT)) / nullif(sum(CAST(quality=l AS INT)),0),4) AS recall FROM labels, (SELECT quality l FROM labels UNION SELECT toxic FROM labels) GROUP BY l")
+query("ols_fit", "lineitem", lambda d: O.ols(d, "l_quantity", "l_extendedprice").select(r("slope", 3).alias("slope"), r("intercept", 3).alias("intercept")), "SELECT round(regr_slope(l_extendedprice, l_quantity),3) slope, round(regr_intercept(l_extendedprice, l_quantity),3) intercept FROM lineitem")
+query("knn_join", "embeddings", lambda d: O.nearest(d, d.filter("vec_id % 100 = 0"), 5, "vec_id", "embedding", C.euclidean).select("query", "id", "rank", r("distance").alias("distance")),
+      "SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY d, id) AS INT) AS rank, round(d,4) distance FROM (SELECT q.vec_id query, e.vec_id id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) d FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, id) <= 5")
+query("vocab_topk", "benchmark", lambda d: O.top_by(T.document_frequency(T.term_counts(d, "item_id", "text")), [F.col("df").desc(), F.col("term")], 20), None)
+query("tfidf_l1", "benchmark", lambda d: T.tfidf(T.term_counts(d, "item_id", "text"), d.agg(F.count("*").alias("n")), "item_id").withColumn("weight", r("weight", 6)), None)
+query("count_vectorize", "benchmark", lambda d: T.term_counts(d, "item_id", "text"), None)
