@@ -7,9 +7,10 @@ in the order, so candidates come from the prefixes; then partial overlaps are co
 fragment and summed per pair, and the sums decide.
 
 Equal sets are one node. As only components are asked for, a bucket of a prefix n-gram
-links its nodes to its first one (by size); pairs of what is then connected are not compared, pairs
-of different components are, so no link that joins two components is lost and groups of copies cost
-a linear number of comparisons.
+links its nodes to its first one (by size), then to its best linked one; pairs of what is then connected
+are not compared. Pairs of a node outside the component of its bucket's best linked node and a node of another
+component are, unless parities of hashed members (512 bits a set) already differ in more places than
+the threshold allows, so no link that joins two components is lost and groups of copies cost a linear number of comparisons.
 
 Defined results: a null or blank text has an empty set, links with nothing and is its own
 component; with fewer words than a shingle the whole sequence is the one member; null row ids stay,
@@ -77,6 +78,13 @@ def sketch(docs: DataFrame, text: str, size: int, scratch: store.Scratch) -> np.
     return out
 
 
+def parities(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """512 bits a row, as 8 words: of how many of its hashes, odd or even, fall on each bit. Two rows' words differ in no more bits than their sets in members."""
+    row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    bits = np.bincount(row * 512 + (K.mix64(h) & np.uint64(511)).astype(np.int64), minlength=512 * (len(cut) - 1)) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -97,22 +105,17 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
     def nodes(batches):
         for batch in batches:
             for a, b, h, cut, own in sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(cut)), _signed(own)], names=["doc_id", "n", "s"])
-
-    def prefixes(batches):
-        for batch in batches:
-            for _, _, h, cut, own in sets(batch.column(0), size):
-                h, _ = ordered(h, cut)
                 n = np.diff(cut)
+                signs = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * (b - a) + 1, 8), pa.int32()), _signed(parities(h, cut)))
+                h, _ = ordered(h, cut)
                 take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-                at = K.ranges(cut[:-1], take)
-                doc = np.repeat(np.arange(len(n)), take)
-                yield pa.RecordBatch.from_arrays([_signed(h[at]), _signed(own[doc]), pa.array(n[doc])], names=["g", "s", "n"])
+                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), _signed(h[K.ranges(cut[:-1], take)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), _signed(own), signs, prefix], names=["doc_id", "n", "s", "signs", "prefix"])
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("t"))
-    table = scratch.table(rows.mapInArrow(nodes, f"doc_id {rows.schema[0].dataType.simpleString()}, n long, s long"), "nodes")
+    table = scratch.table(rows.mapInArrow(nodes, f"doc_id {rows.schema[0].dataType.simpleString()}, n long, s long, signs array<long>, prefix array<long>"), "nodes")
     # equal sets collapse before the shuffle; n-grams of one set only are dropped
-    posting = rows.select("t").mapInArrow(prefixes, "g long, s long, n long").groupBy("g", "s").agg(F.min("n").alias("n"))
+    posting = table.select(F.explode("prefix").alias("g"), "s", "n").groupBy("g", "s").agg(F.min("n").alias("n"))
     first = posting.groupBy("g").agg(F.min(F.struct("n", "s")).alias("p"), F.count("*").alias("k")).filter("k > 1")
     posting = scratch.table(posting.join(first.select("g", "p"), "g").select("g", "s", "n", F.col("p.s").alias("ps"), F.col("p.n").alias("pn")), "postings")
 
@@ -165,14 +168,31 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
     star = posting.filter((F.col("s") != F.col("ps")) & fits("n", "pn")).select(F.col("ps").alias("a"), F.col("s").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb")).distinct()
     links = verified(star, "star")
     known = scratch.table(components(links, scratch, "cc-star"), "roots-star")
-    # what is left: nodes of one bucket in different components
-    member = posting.join(known.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("root", "s")).select("g", "s", "n", "c")
-    open_ = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("g")
-    member = scratch.table(member.join(open_, "g", "left_semi"), "open")
-    a, b = member.toDF("g", "a", "na", "ca"), member.toDF("g", "b", "nb", "cb")
-    rest = a.join(b, "g").filter((F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & fits("na", "nb"))
-    rest = rest.select("a", "b", "na", "nb").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(verified(rest, "rest"))
+    # second round: buckets that hold several components compare their best linked node with the other components
+    degree = links.select(F.col("a").alias("s")).unionByName(links.select(F.col("b").alias("s"))).groupBy("s").agg(F.count("*").alias("d"))
+
+    def opened(part: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        """The nodes of the buckets that hold several components, with the component c and the bucket's hub."""
+        member = part.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("c", F.coalesce("root", "s")).drop("root")
+        hubs = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by(F.struct("s", "n", "c"), F.struct("d", "s")).alias("hub")).filter("lo < hi")
+        return scratch.table(member.join(hubs.select("g", "hub"), "g"), name)
+
+    ranked = posting.select("g", "s", "n").join(degree, "s", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    open_ = opened(ranked, known, "open")
+    spoke = open_.filter((F.col("c") != F.col("hub.c")) & fits("n", "hub.n")).select(F.col("hub.s").alias("a"), F.col("s").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
+    links = links.unionByName(verified(spoke, "spoke"))
+    known = scratch.table(components(links, scratch, "cc-spoke"), "roots-spoke")
+    # what is left: nodes outside the hub's component against the bucket's other components
+    open_ = opened(open_.select("g", "s", "n", "d"), known, "open-rest")
+    signs = table.join(open_.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.first("signs").alias("x"))
+    signed = open_.select("g", "s", "n", "c", F.col("hub.c").alias("hc")).join(signs, "s")
+    a = signed.filter("c != hc").select("g", F.col("s").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"))
+    b = signed.select("g", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "hc", F.col("x").alias("xb"))
+    differ = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(8)), F.lit(0))
+    once = (F.col("cb") == F.col("hc")) | (F.col("a") < F.col("b"))
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+    rest = a.join(b, (a["g"] == b["g"]) & (F.col("ca") != F.col("cb")) & once & fits("na", "nb") & near)
+    links = links.unionByName(verified(rest.select("a", "b", "na", "nb").distinct(), "rest"))
     by_set = table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("d"))
     roots = scratch.table(components(links, scratch, "cc"), "roots")
     joined = by_set.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
