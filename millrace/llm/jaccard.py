@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
@@ -114,18 +114,29 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("t"))
     table = scratch.table(rows.mapInArrow(nodes, f"doc_id {rows.schema[0].dataType.simpleString()}, n long, s long, signs array<long>, prefix array<long>"), "nodes")
-    # equal sets collapse before the shuffle; n-grams of one set only are dropped
-    posting = table.select(F.explode("prefix").alias("g"), "s", "n").groupBy("g", "s").agg(F.min("n").alias("n"))
-    first = posting.groupBy("g").agg(F.min(F.struct("n", "s")).alias("p"), F.count("*").alias("k")).filter("k > 1")
-    posting = scratch.table(posting.join(first.select("g", "p"), "g").select("g", "s", "n", F.col("p.s").alias("ps"), F.col("p.n").alias("pn")), "postings")
+    # equal sets collapse first; n-grams of one set only are dropped
+    alike = table.groupBy("s").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
+    own = Window.partitionBy("g")
+    posting = alike.select(F.explode("prefix").alias("g"), "s", "n").select("g", "s", "n", F.count("*").over(own).alias("k"), F.min(F.struct("n", "s")).over(own).alias("p"))
+    posting = scratch.table(posting.filter("k > 1").select("g", "s", "n", F.col("p.s").alias("ps"), F.col("p.n").alias("pn")), "postings")
 
     def fits(a: str, b: str):
         """The smaller size is at least the threshold's part of the larger."""
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
+    def signs_of(some: DataFrame) -> DataFrame:
+        return table.join(some.distinct(), "s", "left_semi").groupBy("s").agg(F.first("signs").alias("x"))
+
+    def near():
+        """The parities xa and xb differ in no more places than linked sets can."""
+        differ = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(8)), F.lit(0))
+        return (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b, na, nb) with the needed overlap, from partial overlaps summed over fragments."""
-        pairs = scratch.table(pairs, f"{name}-pairs")
+        for k in "ab":
+            pairs = pairs.join(signs_of(pairs.select(F.col(k).alias("s"))).select(F.col("s").alias(k), F.col("x").alias(f"x{k}")), k)
+        pairs = scratch.table(pairs.filter(near()).select("a", "b", "na", "nb"), f"{name}-pairs")
         needed = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
         chosen = table.join(needed, "s", "left_semi").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
 
@@ -174,8 +185,9 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
     def opened(part: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """The nodes of the buckets that hold several components, with the component c and the bucket's hub."""
         member = part.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("c", F.coalesce("root", "s")).drop("root")
-        hubs = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by(F.struct("s", "n", "c"), F.struct("d", "s")).alias("hub")).filter("lo < hi")
-        return scratch.table(member.join(hubs.select("g", "hub"), "g"), name)
+        best = F.max(F.struct("d", F.col("s").alias("s"), F.col("n").alias("n"), F.col("c").alias("c"))).over(own)
+        found = member.select("g", "s", "n", "d", "c", F.min("c").over(own).alias("lo"), F.max("c").over(own).alias("hi"), best.alias("hub"))
+        return scratch.table(found.filter("lo < hi").drop("lo", "hi"), name)
 
     ranked = posting.select("g", "s", "n").join(degree, "s", "left").withColumn("d", F.coalesce("d", F.lit(0)))
     open_ = opened(ranked, known, "open")
@@ -184,14 +196,11 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
     known = scratch.table(components(links, scratch, "cc-spoke"), "roots-spoke")
     # what is left: nodes outside the hub's component against the bucket's other components
     open_ = opened(open_.select("g", "s", "n", "d"), known, "open-rest")
-    signs = table.join(open_.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.first("signs").alias("x"))
-    signed = open_.select("g", "s", "n", "c", F.col("hub.c").alias("hc")).join(signs, "s")
+    signed = open_.select("g", "s", "n", "c", F.col("hub.c").alias("hc")).join(signs_of(open_.select("s")), "s")
     a = signed.filter("c != hc").select("g", F.col("s").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"))
     b = signed.select("g", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "hc", F.col("x").alias("xb"))
-    differ = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(8)), F.lit(0))
     once = (F.col("cb") == F.col("hc")) | (F.col("a") < F.col("b"))
-    near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
-    rest = a.join(b, (a["g"] == b["g"]) & (F.col("ca") != F.col("cb")) & once & fits("na", "nb") & near)
+    rest = a.join(b, (a["g"] == b["g"]) & (F.col("ca") != F.col("cb")) & once & fits("na", "nb") & near())
     links = links.unionByName(verified(rest.select("a", "b", "na", "nb").distinct(), "rest"))
     by_set = table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("d"))
     roots = scratch.table(components(links, scratch, "cc"), "roots")
