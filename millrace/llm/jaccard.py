@@ -7,8 +7,8 @@ in the order, so candidates come from the prefixes; then partial overlaps are co
 fragment and summed per pair, and the sums decide.
 
 Equal sets are one node. As only components are asked for, a bucket of a prefix n-gram
-links its nodes to its first one (by size), then to its best linked one; pairs of what is then connected
-are not compared. Pairs of a node outside the component of its bucket's best linked node and a node of another
+offers its nodes one of them, another in each of a few rounds, and each node is compared with the
+nearest of what it is offered; pairs of what is then connected are not compared. Pairs of a node outside the component of the node its bucket offers last and a node of another
 component are, unless parities of hashed members (512 bits a set) already differ in more places than
 the threshold allows, so no link that joins two components is lost and groups of copies cost a linear number of comparisons.
 
@@ -89,7 +89,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8, id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8, rounds: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, set_hash, component_id of every row."""
     spark = docs.sparkSession
     scratch = store.Scratch(spark, "jaccard")
@@ -117,7 +117,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
     # equal sets collapse first; n-grams of one set only are dropped
     alike = table.groupBy("s").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
     own = Window.partitionBy("g")
-    posting = alike.select(F.explode("prefix").alias("g"), "s", "n").select("g", "s", "n", F.count("*").over(own).alias("k"), F.min(F.struct("n", "s")).over(own).alias("p"))
+    posting = alike.select(F.explode("prefix").alias("g"), "s", "n").select("g", "s", "n", F.count("*").over(own).alias("k"), F.min(F.struct("s", "n")).over(own).alias("p"))
     posting = scratch.table(posting.filter("k > 1").select("g", "s", "n", F.col("p.s").alias("ps"), F.col("p.n").alias("pn")), "postings")
 
     def fits(a: str, b: str):
@@ -127,16 +127,21 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
     def signs_of(some: DataFrame) -> DataFrame:
         return table.join(some.distinct(), "s", "left_semi").groupBy("s").agg(F.first("signs").alias("x"))
 
+    def differ():
+        return sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(8)), F.lit(0))
+
     def near():
         """The parities xa and xb differ in no more places than linked sets can."""
-        differ = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(8)), F.lit(0))
-        return (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+        return (100 + percent) * differ() <= (100 - percent) * (F.col("na") + F.col("nb"))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b, na, nb) with the needed overlap, from partial overlaps summed over fragments."""
+    def verified(pairs: DataFrame, name: str, nearest: bool = False) -> DataFrame:
+        """The pairs (a, b, na, nb), or for each b that with the nearest parities, that have the needed overlap, from partial overlaps summed over fragments."""
         for k in "ab":
             pairs = pairs.join(signs_of(pairs.select(F.col(k).alias("s"))).select(F.col("s").alias(k), F.col("x").alias(f"x{k}")), k)
-        pairs = scratch.table(pairs.filter(near()).select("a", "b", "na", "nb"), f"{name}-pairs")
+        pairs = pairs.filter(near())
+        if nearest:
+            pairs = pairs.groupBy("b").agg(F.min(F.struct(differ().alias("d"), "a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb")
+        pairs = scratch.table(pairs.select("a", "b", "na", "nb"), f"{name}-pairs")
         needed = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
         chosen = table.join(needed, "s", "left_semi").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
 
@@ -177,25 +182,24 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
         return scratch.table(summed.filter(100 * F.col("o") >= percent * (F.col("n") - F.col("o"))).select("a", "b"), f"{name}-links")
 
     star = posting.filter((F.col("s") != F.col("ps")) & fits("n", "pn")).select(F.col("ps").alias("a"), F.col("s").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb")).distinct()
-    links = verified(star, "star")
+    links = verified(star, "star", nearest=True)
     known = scratch.table(components(links, scratch, "cc-star"), "roots-star")
-    # second round: buckets that hold several components compare their best linked node with the other components
-    degree = links.select(F.col("a").alias("s")).unionByName(links.select(F.col("b").alias("s"))).groupBy("s").agg(F.count("*").alias("d"))
-
-    def opened(part: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-        """The nodes of the buckets that hold several components, with the component c and the bucket's hub."""
-        member = part.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("c", F.coalesce("root", "s")).drop("root")
-        best = F.max(F.struct("d", F.col("s").alias("s"), F.col("n").alias("n"), F.col("c").alias("c"))).over(own)
-        found = member.select("g", "s", "n", "d", "c", F.min("c").over(own).alias("lo"), F.max("c").over(own).alias("hi"), best.alias("hub"))
-        return scratch.table(found.filter("lo < hi").drop("lo", "hi"), name)
-
-    ranked = posting.select("g", "s", "n").join(degree, "s", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    open_ = opened(ranked, known, "open")
-    spoke = open_.filter((F.col("c") != F.col("hub.c")) & fits("n", "hub.n")).select(F.col("hub.s").alias("a"), F.col("s").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
-    links = links.unionByName(verified(spoke, "spoke"))
-    known = scratch.table(components(links, scratch, "cc-spoke"), "roots-spoke")
+
+    def opened(part: DataFrame, roots: DataFrame, k: int) -> DataFrame:
+        """The nodes of the buckets that hold several components, with the component c and the bucket's hub of round k."""
+        member = part.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("c", F.coalesce("root", "s"))
+        hub = F.max(F.struct(F.xxhash64("s", F.lit(k)).alias("h"), "s", "n", "c")).over(own)
+        found = member.select("g", "s", "n", "c", F.min("c").over(own).alias("lo"), F.max("c").over(own).alias("hi"), hub.alias("hub"))
+        return scratch.table(found.filter("lo < hi").drop("lo", "hi"), f"open{k}")
+
+    # more rounds: buckets that hold several components offer another node
+    open_ = opened(posting, known, 1)
+    for k in range(1, rounds + 1):
+        spoke = open_.filter((F.col("c") != F.col("hub.c")) & fits("n", "hub.n")).select(F.col("hub.s").alias("a"), F.col("s").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
+        links = links.unionByName(verified(spoke, f"spoke{k}", nearest=True))
+        known = scratch.table(components(links, scratch, f"cc-spoke{k}"), f"roots-spoke{k}")
+        open_ = opened(open_, known, k + 1)
     # what is left: nodes outside the hub's component against the bucket's other components
-    open_ = opened(open_.select("g", "s", "n", "d"), known, "open-rest")
     signed = open_.select("g", "s", "n", "c", F.col("hub.c").alias("hc")).join(signs_of(open_.select("s")), "s")
     a = signed.filter("c != hc").select("g", F.col("s").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"))
     b = signed.select("g", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "hc", F.col("x").alias("xb"))
