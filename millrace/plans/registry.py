@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.functions import text as T
+from millrace.operators import estimators as E
 from millrace.operators import frame as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,43 @@ query("knn_join", "embeddings", lambda d: O.nearest(d, d.filter("vec_id % 100 =
 query("vocab_topk", "benchmark", lambda d: O.top_by(T.document_frequency(T.term_counts(d, "item_id", "text")), [F.col("df").desc(), F.col("term")], 20), None)
 query("tfidf_l1", "benchmark", lambda d: T.tfidf(T.term_counts(d, "item_id", "text"), d.agg(F.count("*").alias("n")), "item_id").withColumn("weight", r("weight", 6)), None)
 query("count_vectorize", "benchmark", lambda d: T.term_counts(d, "item_id", "text"), None)
+for _name, _spark, _sql in [
+    ("agg_quantile", lambda: F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY l_extendedprice DESC)"), "percentile_disc(0.25) WITHIN GROUP (ORDER BY l_extendedprice DESC)"),
+    ("argmin", lambda: F.min_by("l_orderkey", F.struct("l_extendedprice", "l_orderkey")), "arg_min(l_orderkey, (l_extendedprice, l_orderkey))"),
+    ("metric_mse", lambda: r(F.avg(F.pow(F.col("l_extendedprice") - F.col("l_quantity") * 1500, F.lit(2))), 2), "round(avg(pow(l_extendedprice - l_quantity * 1500, 2)), 2)"),
+    ("memory_usage", lambda: F.count("*") * 16, "count(*) * 16"),
+]:
+    query(_name, "lineitem", lambda d, x=_spark: d.agg(x().alias("value")), f"SELECT {_sql} AS value FROM lineitem")
+query("agg_product", "region", lambda d: d.agg(F.product(F.col("r_regionkey") + 1).alias("value")), "SELECT product(r_regionkey + 1) AS value FROM region")
+query("metric_accuracy", "labels", lambda d: d.agg(r(F.avg((F.col("quality") == F.col("toxic")).cast("double"))).alias("value")), "SELECT round(avg(CASE WHEN quality = toxic THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS value FROM labels")
+query("modify_point", "part", lambda d: d.select("p_partkey", F.when(F.col("p_partkey") == 3, 0.0).otherwise(F.col("p_retailprice")).alias("v")), "SELECT p_partkey, CASE WHEN p_partkey = 3 THEN 0.0 ELSE p_retailprice END v FROM part")
+query("push_col", "part", lambda d: d.select("p_partkey", "p_size", (F.col("p_size") * 2).alias("twice")), "SELECT p_partkey, p_size, p_size * 2 AS twice FROM part")
+query("drop_row", "part", lambda d: d.filter("p_partkey <> 3").select("p_partkey"), "SELECT p_partkey FROM part WHERE p_partkey <> 3")
+query("fillna_mean", "customer", lambda d: O.fill(d.select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("v")), "v", "mean").withColumn("v", r("v", 2)), "SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE (SELECT sum(CASE WHEN c_acctbal > 0 THEN c_acctbal END) / count(*) FROM customer) END, 2) v FROM customer")
+query("sort_by", "part", lambda d: d.select("p_partkey", "p_retailprice").orderBy(F.col("p_retailprice").asc_nulls_last(), "p_partkey"), "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice NULLS LAST, p_partkey")
+query("softmax", "part", lambda d: d.select("p_partkey", r(C.softmax(F.array(F.col("p_size") / 10, F.lit(1.0)))[0], 6).alias("v")), "SELECT p_partkey, round(1 / (1 + exp(1 - p_size / 10)), 6) v FROM part")
+query("kernel_rbf", "part", lambda d: d.select("p_partkey", r(C.rbf(F.array("p_size"), F.array(F.lit(10)), 0.001), 6).alias("v")), "SELECT p_partkey, round(exp(-0.001 * (p_size - 10) * (p_size - 10)), 6) v FROM part")
+query("kernel_poly", "part", lambda d: d.select("p_partkey", r(C.polynomial(F.array("p_size"), F.array(F.lit(0.5)), 1.0, 2)).alias("v")), "SELECT p_partkey, round(pow(p_size * 0.5 + 1, 2), 4) v FROM part")
+query("soft_threshold", "customer", lambda d: d.select("c_custkey", r(C.soft_threshold(F.col("c_acctbal"), 500.0), 2).alias("v")), "SELECT c_custkey, round(CASE WHEN c_acctbal < -500 THEN c_acctbal + 500 WHEN c_acctbal > 500 THEN c_acctbal - 500 ELSE 0.0 END, 2) v FROM customer")
+for _name, _op in (("add", "+"), ("sub", "-"), ("mul", "*")):
+    query(f"matrix_{_name}", "orders", lambda d, how=_name: E.elementwise(d.select("o_orderkey", "o_custkey"), d.select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey")), "o_orderkey", how), f"SELECT o_orderkey, o_custkey {_op} (o_custkey + 1) AS o_custkey FROM orders")
+query("train_test_eval_split", "orders", lambda d: E.rank_cut(d.select("o_orderkey"), "o_orderkey", (0.5, 0.25, 0.25)), "SELECT o_orderkey, CASE WHEN CAST('0x' || substr(md5(o_orderkey || ':0'), 1, 8) AS BIGINT) < 2147483648 THEN 'train' WHEN CAST('0x' || substr(md5(o_orderkey || ':0'), 1, 8) AS BIGINT) < 3221225472 THEN 'test' ELSE 'eval' END split FROM orders")
+
+
+def weights(d: DataFrame, w) -> DataFrame:
+    return d.sparkSession.createDataFrame([(i, round(float(v), 3)) for i, v in enumerate(w)], "i int, weight double")
+
+
+query("ridge_fit", "part", lambda d: weights(d, E.least_squares(d, ["p_size"], "p_retailprice", 10.0)), "SELECT 0 AS i, round(sum(p_size * p_retailprice) / (sum(p_size * p_size) + 10), 3) AS weight FROM part")
+query("lasso_fit", "lineitem", lambda d: weights(d, E.descent(d, ["l_quantity", "l_discount"], "l_extendedprice", 100.0)), None)
+query("elastic_net_fit", "lineitem", lambda d: weights(d, E.descent(d, ["l_quantity", "l_discount"], "l_extendedprice", 1.0, 0.5)), None)
+for _kind in ("logistic", "tree", "forest", "svm"):
+    query(f"{_kind}_classify", "embeddings", lambda d, kind=_kind: E.classify(d, "embedding", "label", kind).select("vec_id", "label", "prediction"), None)
+for _kind in ("tree", "forest"):
+    query(f"{_kind}_regress", "part", lambda d, kind=_kind: E.regress(d, ["p_size"], "p_retailprice", kind).select("p_partkey", r("prediction").alias("prediction")), None)
+query("nb_fit", "documents", lambda d: E.naive_bayes(T.term_counts(d, "doc_id", "text"), d.filter("lang IS NOT NULL"), "doc_id", "lang").withColumn("weight", r("weight", 6)), None)
+query("knn_classify", "embeddings", lambda d: E.vote(O.nearest(d, d.filter("vec_id % 100 = 0"), 5, "vec_id", "embedding", C.euclidean), d, "vec_id", "label"), None)
+query("knn_regress", "embeddings", lambda d: E.average(O.nearest(d, d.filter("vec_id % 100 = 0"), 5, "vec_id", "embedding", C.euclidean), d, "vec_id", "label", True).withColumn("prediction", r("prediction")), None)
+query("kmeans", "embeddings", lambda d: E.kmeans(d, "vec_id", "embedding", 10)[0], None)
+query("pca", "embeddings", lambda d: E.principal(d, "embedding", 2).select("vec_id", F.transform("projection", lambda x: F.round(F.abs(x), 4)).alias("size")), None)
+query("transpose", "nation", lambda d: E.transpose(d.select("n_nationkey", "n_regionkey"), "n_nationkey"), None)
