@@ -74,7 +74,11 @@ def repeated(words: Column, size: int = 5) -> Column:
             gaps = F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size)).cast("long"))
             return F.aggregate(gaps, F.lit(0).cast("long"), lambda t, x: t + x)
 
-        return let(F.array_sort(hashes), lambda s: let(starts(s), total))
+        def repeats(s: Column) -> Column:
+            alone = F.size(F.array_distinct(F.transform(s, lambda x: x["h"]))) == F.size(s)
+            return F.when(alone, F.lit(0).cast("long")).otherwise(let(F.array_sort(s), lambda z: let(starts(z), total)))
+
+        return let(hashes, repeats)
 
     return F.when(F.size(words) > size, let(words, covered)).otherwise(F.lit(0).cast("long"))
 
@@ -95,8 +99,8 @@ def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
 
     def own(w: Column) -> Column:
         known = F.array(*[F.lit(x) for x in every])
-        low = F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: F.array_contains(known, x))
-        return let(low, lambda m: F.transform(F.concat(known), lambda k: F.size(F.filter(m, lambda x: x == k)).cast("long")))
+        low = F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: x.isin(every))
+        return let(low, lambda m: F.transform(known, lambda k: (F.size(m) - F.size(F.array_remove(m, k))).cast("long")))
 
     made = rows.select(
         "doc_id",
