@@ -1,10 +1,13 @@
 """Near-duplicate vectors by NN-descent.
 
 Vectors are normalised in double precision and stored as arrays in the shared folder, which workers
-map. The neighbour graph starts from windows over sorted sign hashes of random projections and is
-refined by joins with neighbours of neighbours. Edges at the threshold make components. A vector
-whose list is full of such edges may have more of them: lists of a component are enlarged to the
-component, in blocks of members, so links are counted exactly there without a row per pair.
+map. Equal vectors are one node. The neighbour graph starts from windows over sorted sign hashes of
+random projections and is refined by joins with neighbours of neighbours. Lists are cut, but only to
+guide the search: of every pair compared that is at the threshold, the nodes are joined, by edges that
+span what a batch joins. Further passes, with other projections, compare a node only with others than
+its component: a run of one component counts by its borders, so it fills no window and no list. They
+end when a pass joins few components. Links are then counted exactly within components, in blocks of
+members, without a row per pair.
 audit() compares a query set with all vectors, in blocks, and gives the recall.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose
@@ -15,6 +18,9 @@ empty table gives an empty result; other columns are not touched.
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,6 +32,8 @@ from millrace.llm.components import components
 
 ROW_BITS = 32
 TABLES, BITS, WINDOW, EACH = 24, 24, 12, 3
+BORDER = 2  # rows at either end of a run of one component that stand for it
+FEW = 1000  # a pass that joins fewer than one in so many of the nodes with links is the last
 BLOCK = 256
 
 
@@ -49,13 +57,39 @@ def _take(files: dict[int, str], index: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(parts == p)
         found = store.mapped(files[p])[index[at] & ((1 << ROW_BITS) - 1)]
         if out is None:
-            out = np.empty((len(index), found.shape[1]))
+            out = np.empty((len(index), *found.shape[1:]), found.dtype)
         out[at] = found
     return out
 
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the least row that the pairs a, b join it with."""
+    root = np.arange(n)
+    while True:
+        u, v = root[a], root[b]
+        new = root.copy()
+        np.minimum.at(new, np.maximum(u, v), np.minimum(u, v))
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges (link) that span what the pairs of labels a, b join: one for each label but the first of a group."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _roots(at[: len(a)], at[len(a) :], len(names))
+    own = np.flatnonzero(root != np.arange(len(names)))
+    return _edges(names[own], names[root[own]], np.ones(len(own)), True)
+
+
+def _edges(i: np.ndarray, j: np.ndarray, s: np.ndarray, link: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(s, pa.float64()), pa.array(np.full(len(i), link))], names=["i", "j", "s", "link"])
+
+
 def near(vectors: DataFrame, threshold: float = 0.9, id: str = "vec_id", vector: str = "embedding", neighbours: int = 8, rounds: int = 2) -> tuple[DataFrame, DataFrame, dict[int, str]]:
-    """Returns vec_id, index, n_links, component_id, kept per row; the links' index pairs of the graph; and the files."""
+    """Returns vec_id, index, n_links, component_id, kept per row; index pairs a, b that span the components; and the files."""
     spark = vectors.sparkSession
     scratch = store.Scratch(spark, "neighbours")
     folder = scratch.folder("vectors")
@@ -74,91 +108,159 @@ def near(vectors: DataFrame, threshold: float = 0.9, id: str = "vec_id", vector:
         if sum(len(x) for x in data):
             file = store.save(folder, f"part-{part}", np.concatenate(data))
             row = 0
-            for i, ok in zip(ids, good, strict=True):
+            for i, ok, x in zip(ids, good, data, strict=True):
                 index = (part << ROW_BITS) + row + np.arange(len(ok))
                 row += len(ok)
-                yield pa.RecordBatch.from_arrays([i, pa.array(index), pa.array(ok), pa.array([file] * len(ok))], names=["vec_id", "i", "ok", "file"])
+                same = pa.array([hashlib.blake2b(v.tobytes(), digest_size=16).digest() if k else None for v, k in zip(x + 0.0, ok, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([i, pa.array(index), same, pa.array([file] * len(ok))], names=["vec_id", "i", "h", "file"])
 
-    known = scratch.table(rows.mapInArrow(put, f"vec_id {rows.schema[0].dataType.simpleString()}, i long, ok boolean, file string"), "index")
-    files = {r.p: r.file for r in known.select(F.shiftright("i", ROW_BITS).alias("p"), "file").distinct().collect()}  # one for each input partition
+    read = scratch.table(rows.mapInArrow(put, f"vec_id {rows.schema[0].dataType.simpleString()}, i long, h binary, file string"), "read")
+    parts = {r.p: r for r in read.groupBy(F.shiftright("i", ROW_BITS).alias("p"), "file").count().collect()}  # one for each input partition
+    files = {p: r.file for p, r in parts.items()}
+    copies = read.filter("h IS NOT NULL").groupBy("h").agg(F.min("i").alias("node"), F.count("*").alias("w"))
+    known = scratch.table(read.join(copies, "h", "left").select("vec_id", "i", "node", "w"), "index")
+    nodes = known.filter("i = node").select("i", "w")
+    roots = scratch.table(nodes.select(F.col("i").alias("node"), F.col("i").alias("root")), "roots")
 
-    def signs(batches):
-        planes = np.random.default_rng(7).standard_normal((width, TABLES * BITS))
-        weight = 1 << np.arange(BITS, dtype=np.int64)[::-1]
-        for batch in batches:
-            i = batch.column(0).to_numpy()
-            if len(i):
-                key = ((_take(files, i) @ planes > 0).reshape(len(i), TABLES, BITS) * weight).sum(2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(i))), pa.array(key.ravel()), pa.array(np.repeat(i, TABLES))], names=["t", "k", "i"])
+    def labels_of(roots: DataFrame, name: str) -> dict[int, str]:
+        """Files with the root of each row that is a node, -1 for others; aligned with the vectors."""
+        rows_of, to = {p: r["count"] for p, r in parts.items()}, scratch.folder(name)
 
-    def windows(batches):
-        for batch in batches:
-            i, t = batch.column(2).to_numpy(), batch.column(0).to_numpy()
-            n = len(i)
-            if n < 2:
-                continue
-            x = _take(files, i)
-            sim = np.full((n, 2 * WINDOW), -2.0)
-            other = np.zeros((n, 2 * WINDOW), np.int64)
-            for d in range(1, min(WINDOW, n - 1) + 1):
-                s = np.where(t[d:] == t[:-d], np.einsum("ij,ij->i", x[d:], x[:-d]), -2.0)
-                sim[:-d, d - 1], other[:-d, d - 1] = s, i[d:]
-                sim[d:, WINDOW + d - 1], other[d:, WINDOW + d - 1] = s, i[:-d]
-            best = np.argsort(-sim, axis=1, kind="stable")[:, :EACH]
-            s, j = np.take_along_axis(sim, best, 1).ravel(), np.take_along_axis(other, best, 1).ravel()
-            own = np.repeat(i, EACH)
-            keep = s > 0.3
-            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(j[keep]), pa.array(s[keep])], names=["i", "j", "s"])
+        def put(batches):
+            found: dict[int, np.ndarray] = {}
+            for batch in batches:
+                i, root = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for p in np.unique(i >> ROW_BITS).tolist():
+                    at = i >> ROW_BITS == p
+                    found.setdefault(p, np.full(rows_of[p], -1, np.int64))[i[at] & ((1 << ROW_BITS) - 1)] = root[at]
+            for p, x in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([store.save(to, f"part-{p}", x)])], names=["p", "file"])
+
+        return {r.p: r.file for r in roots.select("node", "root").repartition(F.shiftright("node", ROW_BITS)).mapInArrow(put, "p long, file string").collect()}
+
+    def signs(seed):
+        def hashed(batches):
+            planes = np.random.default_rng(seed).standard_normal((width, TABLES * BITS))
+            weight = 1 << np.arange(BITS, dtype=np.int64)[::-1]
+            for batch in batches:
+                i = batch.column(0).to_numpy()
+                for a in range(0, len(i), 1024):
+                    own = i[a : a + 1024]
+                    key = ((_take(files, own) @ planes > 0).reshape(len(own), TABLES, BITS) * weight).sum(2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(own))), pa.array(key.ravel()), pa.array(np.repeat(own, TABLES))], names=["t", "k", "i"])
+
+        return hashed
+
+    def windows(labels):
+        def compared(batches):
+            i, t = np.zeros(0, np.int64), np.zeros(0, np.int32)
+            for batch in batches:
+                i, t = np.concatenate([i, batch.column(2).to_numpy()]), np.concatenate([t, batch.column(0).to_numpy()])
+                n = len(i)
+                if n < 2:
+                    continue
+                x, c, row = _take(files, i), _take(labels, i), np.arange(n)
+                starts = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])]))
+                run = np.searchsorted(starts, row, "right") - 1
+                first, end = starts[run], np.append(starts[1:], n)[run]
+                border = np.flatnonzero((row - first < BORDER) | (end - row <= BORDER))
+                after, before = np.searchsorted(border, end), np.searchsorted(border, first) - 1
+                sim = np.full((n, 2 * WINDOW), -2.0)
+                other = np.zeros((n, 2 * WINDOW), np.int64)
+                for d in range(2 * WINDOW):
+                    at = after + d if d < WINDOW else before - (d - WINDOW)
+                    own = np.flatnonzero((at >= 0) & (at < len(border)))
+                    j = border[at[own]]
+                    fit = (t[own] == t[j]) & (c[own] != c[j])
+                    own, j = own[fit], j[fit]
+                    sim[own, d], other[own, d] = np.einsum("ij,ij->i", x[own], x[j]), j
+                own, d = np.nonzero(sim >= threshold)
+                if len(own):
+                    yield _joined(c[own], c[other[own, d]])
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :EACH]
+                s, j = np.take_along_axis(sim, best, 1).ravel(), i[np.take_along_axis(other, best, 1).ravel()]
+                own, keep = np.repeat(i, EACH), s > 0.3
+                yield _edges(own[keep], j[keep], s[keep], False)
+                i, t = i[border[-WINDOW:]], t[border[-WINDOW:]]  # meet the next batch
+
+        return compared
+
+    def compare(labels):
+        def compared(batches):
+            for batch in batches:
+                i, at, j = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+                j = j[at[0] : at[-1]]
+                for a in range(0, len(i), 1024):
+                    b = min(len(i), a + 1024)
+                    own = np.repeat(i[a:b], np.diff(at[a : b + 1]))
+                    other = j[at[a] - at[0] : at[b] - at[0]]
+                    if len(own):
+                        c, d = _take(labels, own), _take(labels, other)
+                        own, other, c, d = own[c != d], other[c != d], c[c != d], d[c != d]
+                    if len(own):
+                        s = np.einsum("ij,ij->i", _take(files, own), _take(files, other))
+                        if (s >= threshold).any():
+                            yield _joined(c[s >= threshold], d[s >= threshold])
+                        yield _edges(own, other, s, False)
+
+        return compared
 
     def best(edges: DataFrame, name: str) -> DataFrame:
-        """The most similar neighbours of each vector: i, l (array of structs s, j)."""
+        """The most similar neighbours of each vector, to search by: i, l (array of structs s, j)."""
         top = F.slice(F.sort_array(F.array_distinct(F.collect_list(F.struct("s", "j"))), False), 1, neighbours)  # lists bounded by tables or neighbours
         return scratch.table(edges.groupBy("i").agg(top.alias("l")), name)
 
-    ordered = known.filter("ok").select("i").mapInArrow(signs, "t int, k long, i long")
-    ordered = ordered.repartitionByRange("t", "k").sortWithinPartitions("t", "k", "i")
-    lists = best(ordered.mapInArrow(windows, "i long, j long, s double"), "lists0")
-
-    def compare(batches):
-        for batch in batches:
-            i, at, j = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
-            j = j[at[0] : at[-1]]
-            for a in range(0, len(i), 1024):
-                b = min(len(i), a + 1024)
-                own = np.repeat(i[a:b], np.diff(at[a : b + 1]))
-                other = j[at[a] - at[0] : at[b] - at[0]]
-                if len(own):
-                    s = np.einsum("ij,ij->i", _take(files, own), _take(files, other))
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(other), pa.array(s)], names=["i", "j", "s"])
-
-    for k in range(1, rounds + 1):
-        edges = lists.select("i", F.explode("l").alias("e")).select("i", "e.j", "e.s")
-        far = edges.select("i", "j").join(lists.select(F.col("i").alias("j"), F.col("l.j").alias("n")), "j").groupBy("i").agg(F.array_distinct(F.flatten(F.collect_list("n"))).alias("c"))
-        new = far.select("i", F.array_remove("c", F.col("i")).alias("c")).mapInArrow(compare, "i long, j long, s double")
-        lists = best(edges.unionByName(new), f"lists{k}")
-    links = scratch.table(lists.select("i", F.explode("l").alias("e")).filter(F.col("e.s") >= threshold).select(F.least("i", "e.j").alias("a"), F.greatest("i", "e.j").alias("b")).distinct(), "links")
-    roots = scratch.table(components(links, scratch), "roots")
-    blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    blocks = roots.join(blocks, "root").withColumn("k", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).groupBy("root", "k").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    edge, spans, k = "i long, j long, s double, link boolean", [], 0
+    while True:
+        labels = labels_of(roots, f"labels{k}")
+        ordered = nodes.select("i").mapInArrow(signs(7 + k), "t int, k long, i long")
+        ordered = ordered.repartitionByRange("t", "k", "i").sortWithinPartitions("t", "k", "i")
+        found = [scratch.table(ordered.mapInArrow(windows(labels), edge), f"windows{k}")]
+        lists = best(found[0].filter("NOT link"), f"lists{k}")
+        for r in range(rounds):
+            edges = lists.select("i", F.explode("l").alias("e")).select("i", "e.j", "e.s")
+            far = edges.select("i", "j").join(lists.select(F.col("i").alias("j"), F.col("l.j").alias("n")), "j").groupBy("i").agg(F.array_distinct(F.flatten(F.collect_list("n"))).alias("c"))
+            new = far.select("i", F.array_remove("c", F.col("i")).alias("c")).mapInArrow(compare(labels), edge)
+            found.append(scratch.table(new, f"compared{k}-{r}"))
+            if r + 1 < rounds:
+                lists = best(edges.unionByName(found[-1].filter("NOT link").drop("link")), f"lists{k}-{r}")
+        links = reduce(DataFrame.unionByName, found).filter("link").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+        spans.append(scratch.table(links, f"links{k}"))
+        new = components(spans[-1], scratch, f"cc{k}-").toDF("root", "to")
+        roots = scratch.table(roots.join(new, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"roots{k}")
+        for r in range(rounds):
+            scratch.remove(f"compared{k}-{r}")
+        scratch.remove(f"windows{k}")
+        linked, joined = roots.filter("node <> root").count(), spans[-1].count()
+        k += 1
+        if FEW * joined <= linked:
+            break
+    links = reduce(DataFrame.unionByName, spans)
+    blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    blocks = roots.join(blocks, "root").join(nodes.withColumnRenamed("i", "node"), "node").withColumn("k", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    blocks = blocks.groupBy("root", "k").agg(F.array_sort(F.collect_list(F.struct("node", "w"))).alias("m")).select("root", "k", F.col("m.node").alias("m"), F.col("m.w").alias("w"))
     blocks = scratch.table(blocks, "blocks")
-    both = blocks.toDF("root", "ka", "ma").join(blocks.toDF("root", "kb", "mb"), "root").filter("ka <= kb").select("ka", "kb", "ma", "mb")
+    both = blocks.toDF("root", "ka", "ma", "wa").join(blocks.toDF("root", "kb", "mb", "wb"), "root").filter("ka <= kb").select("ka", "kb", "ma", "mb", "wa", "wb")
 
     def count(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                a, b = np.array(r["ma"]), np.array(r["mb"])
+                a, b, wa, wb = (np.array(r[c]) for c in ("ma", "mb", "wa", "wb"))
                 hit = _take(files, a) @ _take(files, b).T >= threshold
                 if r["ka"] == r["kb"]:
                     np.fill_diagonal(hit, False)
-                    out, n = a, hit.sum(1)
+                    out, n = a, hit @ wa
                 else:
-                    out, n = np.concatenate([a, b]), np.concatenate([hit.sum(1), hit.sum(0)])
-                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(n.astype(np.int64))], names=["i", "n"])
+                    out, n = np.concatenate([a, b]), np.concatenate([hit @ wb, wa @ hit])
+                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(n.astype(np.int64))], names=["node", "n"])
 
-    counted = both.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n_links"))
-    least = roots.withColumnRenamed("node", "i").join(known.select("i", "vec_id"), "i").groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    named = roots.withColumnRenamed("node", "i").join(least, "root").select("i", "component_id").join(counted, "i", "left")
-    out = known.join(named, "i", "left").select("vec_id", F.col("i").alias("index"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    counted = both.mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    named = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("least")).join(roots, "node")
+    named = scratch.table(named, "named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "root").join(counted, "node", "left").select("node", "component_id", "n")
+    n_links = F.coalesce("n", F.lit(0).cast("long")) + F.coalesce(F.col("w") - 1, F.lit(0).cast("long"))  # copies are links
+    out = known.join(named, "node", "left").select("vec_id", F.col("i").alias("index"), n_links.alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return scratch.table(out.withColumn("kept", F.col("vec_id") == F.col("component_id")), "result"), links, files
 
 

@@ -133,3 +133,21 @@ def test_neighbours(spark):
     assert got == {**dict(enumerate(want.tolist())), 60: 0, 61: 0, 62: 0, 63: 0}
     assert neighbours.audit(result, files, every=1) >= 0.9
     assert neighbours.near(spark.createDataFrame([], "vec_id long, embedding array<double>"))[0].count() == 0
+
+
+def test_groups_of_near_copies_are_linked_to_each_other(spark):
+    rng = np.random.default_rng(3)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    x = [unit(rng.standard_normal((600, 64)))]
+    for size, spread in ((9, 0.02), (12, 0.02), (50, 0.02), (5, 0.0)):
+        a, b = unit(rng.standard_normal((2, 64)))
+        b = unit(b - (a @ b) * a)
+        for centre in (a, 0.94 * a + np.sqrt(1 - 0.94**2) * b):
+            x.append(unit(centre + spread * unit(rng.standard_normal((size, 64)))))
+    u = np.concatenate(x)
+    result = neighbours.near(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>"))[0].collect()
+    assert {r.vec_id: r.n_links for r in result} == dict(enumerate(((u @ u.T >= 0.9).sum(1) - 1).tolist()))
+    assert len({r.component_id for r in result if r.vec_id >= 600}) == 4
