@@ -3,7 +3,8 @@
 A document has a histogram of character classes and one of common words (and all others). The
 references are the sums of the same histograms over all documents of a language. The Jensen-Shannon
 distance (base 2, 0 to 1) between a document and the reference of its language rejects documents
-that are far away; a document whose language is null or has no reference is compared with that
+that are far away: by characters beyond a fixed distance, by common words beyond a part of the
+distance that a text without any common word has from the reference; a document whose language is null or has no reference is compared with that
 nearest to it. A histogram over fewer words than its minimum is not judged. Only built-in column functions are used.
 
 Defined results: a null text has no words, and fails for fewer than the least words; empty texts
@@ -39,7 +40,7 @@ class Rules:
     least_words: int = 10
     repeat_percent: int = 20
     class_distance: float = 0.3  # of characters
-    word_distance: float = 0.6  # of common words
+    word_part: float = 0.8  # of common words, as a part of the distance of a text that has none
     class_words: int = 10  # documents with fewer words are not judged by characters
     common_words: int = 100  # nor, with fewer than these, by common words
 
@@ -148,20 +149,30 @@ def references(found: DataFrame) -> DataFrame:
     return one.agg(F.array_sort(F.collect_list(F.struct("lang", *[_shares(F.array(*[F.col(f"{c}{i}") for i in range(n)])).alias(c) for c, n in width.items()]))).alias("refs"))  # at most one for each language of COMMON
 
 
+def bare_distance(reference: Column) -> Column:
+    """The distance from a reference of a text without common words; null for a reference that has none either."""
+    found = distance(F.transform(reference, lambda x, i: F.when(i == F.size(reference) - 1, 1.0).otherwise(0.0)), reference)
+    return F.when(found > 0, found)
+
+
 def assess(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:  # noqa: B008
     """measures() without histograms, and class_distance, word_distance, base_failed and kept."""
     scratch = store.Scratch(docs.sparkSession, "quality")
     found = scratch.table(measures(docs, id, text, lang), "measures")
     refs = scratch.table(references(found), "references")  # one row
 
+    refs = refs.select(F.transform("refs", lambda r: r.withField("bare", bare_distance(r["common"]))).alias("refs"))
+
     def nearest(column: str) -> Column:
+        """The least distance, and the bare distance of its reference."""
         own = F.filter("refs", lambda r: r["lang"] == F.col("lang"))
         chosen = F.when(F.size(own) > 0, own).otherwise(F.col("refs"))
-        return let(_shares(F.col(column)), lambda p: F.array_min(F.transform(chosen, lambda r: distance(p, r[column]))))
+        return let(_shares(F.col(column)), lambda p: F.array_min(F.transform(chosen, lambda r: F.struct(distance(p, r[column]).alias("d"), r["bare"].alias("bare")))))
 
-    judged = found.crossJoin(F.broadcast(refs)).withColumns({"class_distance": nearest("classes"), "word_distance": nearest("common")})  # with one row
+    judged = found.crossJoin(F.broadcast(refs)).withColumns({"by_class": nearest("classes"), "by_word": nearest("common")})  # with one row
+    judged = judged.withColumns({"class_distance": F.col("by_class.d"), "word_distance": F.col("by_word.d")})
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
     far = F.coalesce((F.col("n_words") >= rules.class_words) & (F.col("class_distance") > rules.class_distance), F.lit(False)) | F.coalesce(
-        (F.col("n_words") >= rules.common_words) & (F.col("word_distance") > rules.word_distance), F.lit(False)
+        (F.col("n_words") >= rules.common_words) & (F.col("word_distance") > rules.word_part * F.col("by_word.bare")), F.lit(False)
     )
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "word_distance")

@@ -151,3 +151,12 @@ def test_groups_of_near_copies_are_linked_to_each_other(spark):
     result = neighbours.near(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>"))[0].collect()
     assert {r.vec_id: r.n_links for r in result} == dict(enumerate(((u @ u.T >= 0.9).sum(1) - 1).tolist()))
     assert len({r.component_id for r in result if r.vec_id >= 600}) == 4
+
+
+def test_quality_rejects_prose_without_common_words(spark):
+    other = "river stone walked yellow garden quiet evening letter winter carried summer bridge window mountain thought paper".split()
+    good = [" ".join(w for k in range(40) for w in ("the" if k % 2 else "of", *np.random.default_rng(100 * n + k).choice(other, 3))) for n in range(30)]
+    bare = " ".join(np.random.default_rng(7).choice(other, 160))
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame([(i, t, "en", None, 1) for i, t in enumerate([*good, bare])], SCHEMA)).collect()}
+    assert all(got[i].kept for i in range(30))
+    assert not got[30].kept and not got[30].base_failed and got[30].class_distance <= 0.3
