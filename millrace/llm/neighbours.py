@@ -5,10 +5,13 @@ map. Equal vectors are one node. The neighbour graph starts from windows over so
 random projections and is refined by joins with neighbours of neighbours. Lists are cut, but only to
 guide the search: of every pair compared that is at the threshold, the nodes are joined, by edges that
 span what a batch joins. Further passes, with other projections, compare a node only with others than
-its component: a run of one component counts by its borders, so it fills no window and no list. They
-end when a pass joins few components. Links are then counted exactly within components, in blocks of
-members, without a row per pair.
-audit() compares a query set with all vectors, in blocks, and gives the recall.
+its component: a run of one component counts by its borders, so it fills no window and no list. The
+projections of a pass grow with the vectors, so that a pair at the threshold meets in a window about as
+often in any table. After each pass some nodes are compared with all vectors, in blocks: the part of
+their links that lies within components is the recall, and what is missed is joined. Passes go on, each
+with twice the projections, until one joins few components and the recall is reached; each pass is logged.
+Links are then counted exactly within components, in blocks of members, without a row per pair.
+audit() does that comparison for a result, by the ids of its rows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose
 length differs from the first valid one's width, link with nothing; they have 0 links and are their own
@@ -19,6 +22,8 @@ empty table gives an empty result; other columns are not touched.
 from __future__ import annotations
 
 import hashlib
+import logging
+import math
 from functools import reduce
 
 import numpy as np
@@ -30,8 +35,12 @@ from pyspark.sql import functions as F
 from millrace.llm import store
 from millrace.llm.components import components
 
+log = logging.getLogger(__name__)
+
 ROW_BITS = 32
-TABLES, BITS, WINDOW, EACH = 24, 24, 12, 3
+TABLES, BITS, WINDOW, EACH = 24, 24, 12, 3  # of tables and bits the least
+MISS = 0.02  # of pairs at the threshold, about the part that no window of a pass shows
+RECALL, QUERIES = 0.98, 2000  # to be reached, for about so many nodes
 BORDER = 2  # rows at either end of a run of one component that stand for it
 FEW = 1000  # a pass that joins fewer than one in so many of the nodes with links is the last
 BLOCK = 256
@@ -84,12 +93,19 @@ def _joined(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return _edges(names[own], names[root[own]], np.ones(len(own)), True)
 
 
+def effort(n: int, threshold: float) -> tuple[int, int]:
+    """Tables and bits for n vectors. A window spans as many rows as agree in log2(n / WINDOW) signs; each sign of a pair at the threshold agrees with probability 1 - angle / pi."""
+    depth = math.log2(max(2.0, n / WINDOW))
+    meet = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** depth
+    return max(TABLES, math.ceil(math.log(MISS) / math.log1p(-meet)) if meet < 1 else 1), min(62, max(BITS, math.ceil(depth) + 8))
+
+
 def _edges(i: np.ndarray, j: np.ndarray, s: np.ndarray, link: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(s, pa.float64()), pa.array(np.full(len(i), link))], names=["i", "j", "s", "link"])
 
 
-def near(vectors: DataFrame, threshold: float = 0.9, id: str = "vec_id", vector: str = "embedding", neighbours: int = 8, rounds: int = 2) -> tuple[DataFrame, DataFrame, dict[int, str]]:
-    """Returns vec_id, index, n_links, component_id, kept per row; index pairs a, b that span the components; and the files."""
+def near(vectors: DataFrame, threshold: float = 0.9, id: str = "vec_id", vector: str = "embedding", neighbours: int = 8, rounds: int = 2, recall: float = RECALL, passes: list[dict] | None = None) -> tuple[DataFrame, DataFrame, dict[int, str]]:
+    """Returns vec_id, index, n_links, component_id, kept per row; index pairs a, b that span the components; and the files. passes: gets what each pass did, with its recall."""
     spark = vectors.sparkSession
     scratch = store.Scratch(spark, "neighbours")
     folder = scratch.folder("vectors")
@@ -138,16 +154,17 @@ def near(vectors: DataFrame, threshold: float = 0.9, id: str = "vec_id", vector:
 
         return {r.p: r.file for r in roots.select("node", "root").repartition(F.shiftright("node", ROW_BITS)).mapInArrow(put, "p long, file string").collect()}
 
-    def signs(seed):
+    def signs(seed, tables):
         def hashed(batches):
-            planes = np.random.default_rng(seed).standard_normal((width, TABLES * BITS))
-            weight = 1 << np.arange(BITS, dtype=np.int64)[::-1]
+            planes = np.random.default_rng(seed).standard_normal((width, tables * bits))
+            weight = 1 << np.arange(bits, dtype=np.int64)[::-1]
             for batch in batches:
                 i = batch.column(0).to_numpy()
-                for a in range(0, len(i), 1024):
-                    own = i[a : a + 1024]
-                    key = ((_take(files, own) @ planes > 0).reshape(len(own), TABLES, BITS) * weight).sum(2)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(own))), pa.array(key.ravel()), pa.array(np.repeat(own, TABLES))], names=["t", "k", "i"])
+                step = max(1, (1 << 21) // (tables * bits))
+                for a in range(0, len(i), step):
+                    own = i[a : a + step]
+                    key = ((_take(files, own) @ planes > 0).reshape(len(own), tables, bits) * weight).sum(2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))), pa.array(key.ravel()), pa.array(np.repeat(own, tables))], names=["t", "k", "i"])
 
         return hashed
 
@@ -210,10 +227,35 @@ def near(vectors: DataFrame, threshold: float = 0.9, id: str = "vec_id", vector:
         top = F.slice(F.sort_array(F.array_distinct(F.collect_list(F.struct("s", "j"))), False), 1, neighbours)  # lists bounded by tables or neighbours
         return scratch.table(edges.groupBy("i").agg(top.alias("l")), name)
 
+    def missed(labels):
+        """For each node its links and those of them within its component (s and j of a row that is no link), and links that join what is missed."""
+
+        def compared(batches):
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    i = batch.column(0).to_numpy()[a : a + 256]
+                    x, c = _take(files, i), _take(labels, i)
+                    true, within = -np.ones(len(i), np.int64), -np.ones(len(i), np.int64)  # without itself
+                    for p, file in files.items():
+                        whole, roots_of = store.mapped(file), store.mapped(labels[p]) if p in labels else None
+                        for b in range(0, len(whole) if p in labels else 0, 8192):
+                            root = roots_of[b : b + 8192]
+                            hit = (x @ whole[b : b + 8192].T >= threshold) & (root >= 0)
+                            same = root == c[:, None]
+                            true, within = true + hit.sum(1), within + (hit & same).sum(1)
+                            own, other = np.nonzero(hit & ~same)
+                            if len(own):
+                                yield _joined(c[own], root[other])
+                    yield _edges(i, np.maximum(true, 0), np.maximum(within, 0), False)
+
+        return compared
+
+    n_nodes = nodes.count()
+    tables, bits = effort(n_nodes, threshold)
     edge, spans, k = "i long, j long, s double, link boolean", [], 0
     while True:
         labels = labels_of(roots, f"labels{k}")
-        ordered = nodes.select("i").mapInArrow(signs(7 + k), "t int, k long, i long")
+        ordered = nodes.select("i").mapInArrow(signs(7 + k, tables), "t int, k long, i long")
         ordered = ordered.repartitionByRange("t", "k", "i").sortWithinPartitions("t", "k", "i")
         found = [scratch.table(ordered.mapInArrow(windows(labels), edge), f"windows{k}")]
         lists = best(found[0].filter("NOT link"), f"lists{k}")
@@ -232,8 +274,21 @@ def near(vectors: DataFrame, threshold: float = 0.9, id: str = "vec_id", vector:
             scratch.remove(f"compared{k}-{r}")
         scratch.remove(f"windows{k}")
         linked, joined = roots.filter("node <> root").count(), spans[-1].count()
-        k += 1
-        if FEW * joined <= linked:
+        asked = nodes.select("i").filter(F.pmod(F.xxhash64("i", F.lit(k)), F.lit(max(1, n_nodes // QUERIES))) == 0)
+        asked = scratch.table(asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(missed(labels_of(roots, f"audited{k}")), edge), f"audit{k}")
+        share = asked.filter("NOT link AND j > 0").agg(F.avg(F.col("s") / F.col("j"))).first()[0]  # each node that has links counts the same
+        share = 1.0 if share is None else share
+        done = {"pass": k, "tables": tables, "bits": bits, "joined": joined, "recall": share}
+        log.info("near-duplicate vectors: %s", done)
+        if passes is not None:
+            passes.append(done)
+        lost = asked.filter("link").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+        if share < 1:
+            spans.append(scratch.table(lost, f"lost{k}"))
+            new = components(spans[-1], scratch, f"lostcc{k}-").toDF("root", "to")
+            roots = scratch.table(roots.join(new, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"mended{k}")
+        k, tables = k + 1, 2 * tables
+        if FEW * joined <= linked and share >= recall:
             break
     links = reduce(DataFrame.unionByName, spans)
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.count("*").alias("size")).filter("size > 1").drop("size")

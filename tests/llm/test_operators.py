@@ -160,3 +160,24 @@ def test_quality_rejects_prose_without_common_words(spark):
     got = {r.doc_id: r for r in quality.assess(spark.createDataFrame([(i, t, "en", None, 1) for i, t in enumerate([*good, bare])], SCHEMA)).collect()}
     assert all(got[i].kept for i in range(30))
     assert not got[30].kept and not got[30].base_failed and got[30].class_distance <= 0.3
+
+
+def test_search_grows_with_the_table_until_the_recall_is_reached(spark, monkeypatch):
+    # effort() promises that a pair at the threshold shares a window with probability 0.98 in one pass
+    for n, least in ((10_000, 24), (600_000, 40), (3_000_000, 60)):
+        tables, bits = neighbours.effort(n, 0.9)
+        p = (1 - np.arccos(0.9) / np.pi) ** np.log2(n / neighbours.WINDOW)
+        assert tables >= least and 1 - (1 - p) ** tables >= 0.98 and bits > np.log2(n / neighbours.WINDOW)
+    # a pass of one table without rounds misses pairs; the audit sees it and goes on
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((1500, 64))
+    y -= (y * x).sum(1)[:, None] * x
+    u = np.concatenate([x, 0.905 * x + np.sqrt(1 - 0.905**2) * y / np.linalg.norm(y, axis=1)[:, None]])
+    monkeypatch.setattr(neighbours, "effort", lambda n, threshold: (1, 24))
+    monkeypatch.setattr(neighbours, "QUERIES", 300)
+    passes = []
+    result = neighbours.near(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>"), rounds=0, passes=passes)[0]
+    assert passes[0]["recall"] < 0.9 and passes[-1]["recall"] >= 0.98 and [p["tables"] for p in passes] == [2**k for k in range(len(passes))]
+    assert result.agg(F.sum("n_links")).first()[0] >= 0.95 * 3000
