@@ -12,9 +12,10 @@ from millrace.llm import jaccard, quality, queries, store, toxicity
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules go; where an id repeats, all its rows go if one fails. Null ids stay if nothing is known."""
-    failed = quality.assess(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(failed, "doc_id", "left_anti")
+    """Rows that fail the rules go, whatever their ids."""
+    rows, key = store.keyed(docs, store.Scratch(spark, "quality_stage"))
+    failed = quality.assess(rows, id=key).filter(~F.col("kept")).select(F.col("doc_id").alias(key))
+    return rows.join(failed, key, "left_anti").drop(key)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

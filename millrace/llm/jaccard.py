@@ -216,7 +216,9 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are the first of their component (rows with a null id stay)."""
-    found = join(docs, size, percent, id=id, text=text)
-    kept = found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(id)).distinct()
-    return docs.join(kept, id, "left_semi").unionByName(docs.filter(F.col(id).isNull()))
+    """The rows of docs, all columns, that are the first of their component: one with the least id, any row of it where it repeats, null ids last."""
+    rows, key = store.keyed(docs, store.Scratch(docs.sparkSession, "keep_one"))
+    found = join(rows, size, percent, id=key, text=text).select(F.col("doc_id").alias(key), "component_id")
+    first = F.min(F.struct(F.col(id).isNull().alias("last"), F.col(id).alias("own"), F.col(key).alias("key")))
+    kept = found.join(rows.select(key, id), key).groupBy("component_id").agg(first.alias("f")).select(F.col("f.key").alias(key))
+    return rows.join(kept, key, "left_semi").drop(key)

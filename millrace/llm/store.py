@@ -17,6 +17,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -110,6 +111,14 @@ def mapped(uri: str) -> np.ndarray:
     return out if out.size else np.asarray(out)
 
 
+def keyed(df: DataFrame, scratch: Scratch, name: str = "rows") -> tuple[DataFrame, str]:
+    """df, written with a key of its own for each row, and the name of that column."""
+    key = "row_key"
+    while key.lower() in {c.lower() for c in df.columns}:
+        key += "_"
+    return scratch.table(df.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """What the optimizer takes as the input's size; for a file scan, the size of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

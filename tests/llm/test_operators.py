@@ -181,3 +181,15 @@ def test_search_grows_with_the_table_until_the_recall_is_reached(spark, monkeypa
     result = neighbours.near(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>"), rounds=0, passes=passes)[0]
     assert passes[0]["recall"] < 0.9 and passes[-1]["recall"] >= 0.98 and [p["tables"] for p in passes] == [2**k for k in range(len(passes))]
     assert result.agg(F.sum("n_links")).first()[0] >= 0.95 * 3000
+
+
+def test_pipeline_judges_rows_whatever_their_ids(spark):
+    import corpus_pipeline
+
+    good, other = " ".join(BASE), " ".join(reversed(BASE))
+    rows = [(None, "too short", "en", None, 0), (1, good, "en", None, 1), (1, "too short", "en", None, 2), (None, other, "en", None, 3), (7, None, "en", None, 4)]
+    kept = corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert kept.columns == ["doc_id", "text", "lang", "source", "s"] and {r.s for r in kept.collect()} == {1, 3}
+    rows = [(5, good, "en", None, 0), (5, good, "en", None, 1), (None, good, "en", None, 2), (3, good, "en", None, 3), (3, other, "en", None, 4), (None, other, "en", None, 5), (9, None, "en", None, 6), (None, "", "en", None, 7)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, SCHEMA))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "s"] and {r.s for r in kept.collect()} == {3, 4, 6, 7}
