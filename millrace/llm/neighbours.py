@@ -14,7 +14,7 @@ Links are then counted exactly within components, in blocks of members, without
 audit() does that comparison for a result, by the ids of its rows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose
-length differs from the first valid one's width, link with nothing; they have 0 links and are their own
+length is not the most frequent among valid ones (of equally frequent ones the least), link with nothing; they have 0 links and are their own
 component; rows with a repeated id are vectors of their own that share it; null ids stay null; an
 empty table gives an empty result; other columns are not touched.
 """
@@ -110,7 +110,8 @@ def near(vectors: DataFrame, threshold: float = 0.9, id: str = "vec_id", vector:
     scratch = store.Scratch(spark, "neighbours")
     folder = scratch.folder("vectors")
     rows = vectors.select(F.col(id).alias("vec_id"), F.col(vector).alias("v"))
-    head = rows.select(F.size("v").alias("n")).filter("n > 0").first()
+    usable = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
+    head = rows.filter(usable).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = head.n if head else 1
 
     def put(batches):

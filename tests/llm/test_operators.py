@@ -193,3 +193,9 @@ def test_pipeline_judges_rows_whatever_their_ids(spark):
     rows = [(5, good, "en", None, 0), (5, good, "en", None, 1), (None, good, "en", None, 2), (3, good, "en", None, 3), (3, other, "en", None, 4), (None, other, "en", None, 5), (9, None, "en", None, 6), (None, "", "en", None, 7)]
     kept = jaccard.keep_one(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "lang", "source", "s"] and {r.s for r in kept.collect()} == {3, 4, 6, 7}
+
+
+def test_the_width_is_the_most_frequent_length(spark):
+    rows = [(0, [None] * 3), (1, [1.0, 2.0]), (2, [float("nan")] * 3), (3, [0.0] * 3), (4, None), (5, [])] + [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(6, 9)]
+    result = neighbours.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1))[0]
+    assert {r.vec_id: r.n_links for r in result.collect()} == {i: 2 if i >= 6 else 0 for i in range(9)}
