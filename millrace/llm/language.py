@@ -43,7 +43,7 @@ def presence(column: pa.Array):
     data, offsets = K.text_buffers(column)
     letters, lower = K.char_classes(), _lower()
     for a, b in K.slices(offsets):
-        cp, at = K.code_points(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        cp, at, _ = K.code_points(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         row = np.repeat(np.arange(b - a), np.diff(at))
         has = np.bincount(row, letters[cp] == K.LETTER, b - a) > 0
         cp = lower[cp].astype(np.uint64)

@@ -119,12 +119,14 @@ def keyed(df: DataFrame, scratch: Scratch, name: str = "rows") -> tuple[DataFram
     return scratch.table(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """What the optimizer takes as the input's size; for a file scan, the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def size_in_bytes(df: DataFrame, text: str | None = None) -> int:
+    """What the optimizer takes as the input's size; for a file scan, the size of its files. Where it does not know, the length of the text."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60 and text:
+        size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return size
 
 
-def shards(df: DataFrame, each: int = 16 << 20) -> int:
+def shards(df: DataFrame, text: str, each: int = 16 << 20) -> int:
     """How many hash ranges to cut an input into, so that a range stays within a task's memory."""
-    size = size_in_bytes(df)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // each if size < 1 << 60 else 1)  # beyond: unknown
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size_in_bytes(df, text) // each)

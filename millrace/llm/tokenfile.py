@@ -83,7 +83,7 @@ def write(docs: DataFrame, folder: str, path: str, id: str = "doc_id", text: str
 
     if (local := store.local_path(folder)) is not None:
         os.makedirs(local, exist_ok=True)
-    ordered = rows.repartitionByRange(store.shards(docs), "doc_id").sortWithinPartitions("doc_id", "t")
+    ordered = rows.repartitionByRange(store.shards(docs, text), "doc_id").sortWithinPartitions("doc_id", "t")
     made = scratch.table(ordered.mapInArrow(put, "part int, file string, n_rows long, n_ids long"), "written")
     out, before = [], 0
     for r in made.orderBy("part").collect():  # one row for each file

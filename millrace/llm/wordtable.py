@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,13 +69,34 @@ def byte_level(path: str) -> ByteLevel:
     return ByteLevel(path)
 
 
-def split(column: pa.Array, bpe: ByteLevel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of rows: first row, end row, code points, piece starts, ends and specials, and the first piece of each row."""
+@dataclass(frozen=True)
+class Pieces:
+    """The pieces of a slice of rows: their bytes, the special token (-1: none) of each, and the first piece of each row."""
+
+    row: int
+    end: int
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    special: np.ndarray
+    first: np.ndarray
+
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        return K.span_hashes(self.data, self.starts, self.ends, salt)
+
+    def texts(self, which: np.ndarray) -> pa.Array:
+        n = self.ends[which] - self.starts[which]
+        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets), pa.py_buffer(self.data[K.ranges(self.starts[which], n)]))
+
+
+def split(column: pa.Array, bpe: ByteLevel) -> Iterator[Pieces]:
     data, offsets = K.text_buffers(column)
     for a, b in K.slices(offsets):
-        cp, at = K.code_points(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        own = data[offsets[a] : offsets[b]]
+        cp, at, lead = K.code_points(own, offsets[a : b + 1] - offsets[a])
         starts, ends, special = K.bpe_pieces(cp, at, bpe.special_points, bpe.classes)
-        yield a, b, cp, starts, ends, special, np.searchsorted(starts, at)
+        yield Pieces(a, b, own, lead[starts], lead[ends], special, np.searchsorted(starts, at))
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -84,61 +105,60 @@ def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 _SEEN_BITS = 20
+CHECK = 1  # the salt of the second hash, by which pieces with equal first hashes are told apart
+
+
+def merge(h: np.ndarray, c: np.ndarray, words: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The distinct first hashes, ascending, a word of each, and whether different words share it. c: the second hashes."""
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    shared = np.append(False, (h[1:] == h[:-1]) & (c[1:] != c[:-1]))[: len(h)]
+    return h[first], words.take(pa.array(order[first])), np.add.reduceat(shared, first) > 0 if len(h) else shared
 
 
 def build(docs: DataFrame, text: str, path: str, scratch: store.Scratch, name: str = "words") -> list[tuple[int, str, str, str]]:
-    """Makes the table; returns (shard, addresses of hashes, id offsets and ids) for each shard that has words."""
-    n = store.shards(docs)
+    """Makes the table; returns (shard, addresses of hashes, id offsets and ids) for each shard that has words.
+
+    A hash that different words share is stored without ids: workers encode such words by themselves.
+    """
+    n = store.shards(docs, text)
     folder = scratch.folder(name)
 
     def distinct(batches):
         bpe = byte_level(path)
-        seen = np.zeros(1 << _SEEN_BITS, np.uint64)
+        seen, checked = np.zeros(1 << _SEEN_BITS, np.uint64), np.zeros(1 << _SEEN_BITS, np.uint64)
         for batch in batches:
-            hashes, words = [], []
-            for *_, cp, starts, ends, special, _ in split(batch.column(0), bpe):
-                if not len(starts):
-                    continue
-                h = K.span_hashes(cp, starts, ends)
+            found = []
+            for pieces in split(batch.column(0), bpe):
+                h, c = pieces.hashes(), pieces.hashes(CHECK)
                 slot = (h & np.uint64((1 << _SEEN_BITS) - 1)).astype(np.int64)
-                new = np.flatnonzero((seen[slot] != h) & (special < 0))
+                new = np.flatnonzero(((seen[slot] != h) | (checked[slot] != c)) & (pieces.special < 0))
                 if not len(new):
                     continue
-                new = new[np.argsort(h[new])]
-                u = h[new]
-                keep = np.ones(len(u), bool)
-                keep[1:] = u[1:] != u[:-1]
-                new, u = new[keep], u[keep]
-                seen[slot[new]] = u
-                s = cp.tobytes().decode("utf-32-le")
-                hashes.append(u)
-                words += [s[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            if not words:
+                new = new[np.lexsort((c[new], h[new]))]
+                keep = np.ones(len(new), bool)
+                keep[1:] = (h[new[1:]] != h[new[:-1]]) | (c[new[1:]] != c[new[:-1]])
+                new = new[keep]
+                seen[slot[new]], checked[slot[new]] = h[new], c[new]
+                found.append((h[new], c[new], pieces.texts(new)))
+            if not found:
                 continue
-            h, w = np.concatenate(hashes), pa.array(words, pa.string())
+            h, c, w = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), pa.concat_arrays([f[2] for f in found])
             shard = shard_of(h, n)
             order = np.argsort(shard, kind="stable")
-            h, w, shard = h[order], w.take(pa.array(order)), shard[order]
+            h, c, w, shard = h[order], c[order], w.take(pa.array(order)), shard[order]
             first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
             cut = np.append(first, len(h))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[first]), pa.array([h[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), w)],
-                names=["shard", "hashes", "words"],
-            )
+            both = [pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (h, c)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[first]), *both, pa.ListArray.from_arrays(pa.array(cut, pa.int32()), w)], names=["shard", "hashes", "checks", "words"])
 
     def encode(table: pa.Table) -> pa.Table:
         bpe = byte_level(path)
-        h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
-        words = pa.concat_arrays([c.flatten() for c in table.column("words").chunks])
-        order = np.argsort(h)
-        h, words = h[order], words.take(pa.array(order))
-        same = np.append(False, h[1:] == h[:-1])
-        if same.any():
-            k = np.flatnonzero(same)
-            if not pc.all(pc.equal(words.take(pa.array(k)), words.take(pa.array(k - 1)))).as_py():
-                raise ValueError("two different pieces share a 64-bit hash")
-        h, words = h[~same], words.filter(pa.array(~same))
+        h, c = (np.frombuffer(b"".join(table.column(x).to_pylist()), np.uint64) for x in ("hashes", "checks"))
+        h, words, shared = merge(h, c, pa.concat_arrays([x.flatten() for x in table.column("words").chunks]))
         ids = bpe.encode_pieces(words.to_pylist())
+        ids = [[] if s else x for x, s in zip(ids, shared.tolist(), strict=True)] if shared.any() else ids
         offsets = np.zeros(len(ids) + 1, np.int64)
         np.cumsum([len(x) for x in ids], out=offsets[1:])
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(offsets[-1]))
@@ -147,7 +167,7 @@ def build(docs: DataFrame, text: str, path: str, scratch: store.Scratch, name: s
         files = [store.save(folder, f"{shard}-{what}", x) for what, x in (("hash", h), ("at", offsets.astype(np.uint32)), ("ids", flat.astype(kind)))]
         return pa.table({"shard": pa.array([shard], pa.int32()), **{k: [v] for k, v in zip(("hash", "at", "ids"), files, strict=True)}})
 
-    found = docs.select(F.col(text).alias("t")).mapInArrow(distinct, "shard int, hashes binary, words array<string>")
+    found = docs.select(F.col(text).alias("t")).mapInArrow(distinct, "shard int, hashes binary, checks binary, words array<string>")
     made = scratch.table(found.groupBy("shard").applyInArrow(encode, "shard int, hash string, at string, ids string"), f"{name}-files")
     return sorted(tuple(r) for r in made.collect())  # one row for each shard: a file list
 
@@ -190,8 +210,8 @@ class Lookup:
             at[a:b] = self._add(store.mapped(ids)[K.ranges(lo, size)]) + np.cumsum(size) - size
         return at, n
 
-    def ids(self, hashes: np.ndarray, special: np.ndarray, special_ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many each piece has."""
+    def ids(self, hashes: np.ndarray, special: np.ndarray, special_ids: list[np.ndarray], encode) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and how many each piece has. encode: the ids of the k-th piece, for a hash of several words."""
         if self.used > self.MOST:
             self._clear()
         slot = (hashes & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
@@ -209,6 +229,9 @@ class Lookup:
         for k in np.flatnonzero(~plain).tolist():
             ids = special_ids[special[k]]
             at[k], n[k] = self._add(ids), len(ids)
+        for k in np.flatnonzero(n == 0).tolist():
+            ids = encode(k)
+            at[k], n[k] = self._add(ids), len(ids)
         return self.pool[K.ranges(at, n)], n
 
 
@@ -220,10 +243,10 @@ def lookup(files: tuple) -> Lookup:
 def encoded(column: pa.Array, path: str, files: tuple, end: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For slices of rows: first row, end row, the ids of all, and offsets by row; with the end id, if any, after each row."""
     bpe, table = byte_level(path), lookup(files)
-    for a, b, cp, starts, ends, special, first in split(column, bpe):
-        ids, n = table.ids(K.span_hashes(cp, starts, ends), special, bpe.special_ids)
-        offsets = np.concatenate([[0], np.cumsum(n)])[first]
+    for p in split(column, bpe):
+        ids, n = table.ids(p.hashes(), p.special, bpe.special_ids, lambda k, p=p: np.array(bpe.encode_pieces(p.texts(np.array([k])).to_pylist())[0], np.uint32))
+        offsets = np.concatenate([[0], np.cumsum(n)])[p.first]
         if end is not None:
             ids = np.insert(ids, offsets[1:], end)
             offsets = offsets + np.arange(len(offsets))
-        yield a, b, ids, offsets
+        yield p.row, p.end, ids, offsets
