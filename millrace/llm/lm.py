@@ -39,7 +39,7 @@ from millrace.llm import store
 from millrace.llm.wordtable import shard_of
 
 START, END = np.uint64(0x51A7), np.uint64(0xE4D)
-UNIT = 8 << 20  # bytes of text that are counted or scored at once
+COUNTED, SCORED = 4 << 20, 1 << 20  # bytes of text (or one longer text) that are counted, or scored, at once
 
 
 @dataclass(frozen=True)
@@ -66,9 +66,9 @@ def discounts(n: tuple[int, ...]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.1), k) for k, d in enumerate(out, 1))  # type: ignore[return-value]
 
 
-def tokens_of(column: pa.Array):
+def tokens_of(column: pa.Array, most: int):
     """For slices of rows: first row, end row, hashes of all tokens with an end after each row, and offsets by row."""
-    for a, b, words, row in K.hashed_words(column, most=UNIT):
+    for a, b, words, row in K.hashed_words(column, most=most):
         offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a) if len(row) else np.zeros(b - a, np.int64))])
         yield a, b, np.insert(words, offsets[1:], END), offsets + np.arange(len(offsets))
 
@@ -143,12 +143,12 @@ def _received(table: pa.Table, kind: int, types: tuple) -> list[np.ndarray]:
 def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
     """Counts the rows where train is true. Everything that is counted covers all their text."""
     spark, scratch = docs.sparkSession, store.Scratch(docs.sparkSession, "lm")
-    grid, folder = math.isqrt(store.shards(docs, 8 << 20) - 1) + 1, scratch.folder("model")
+    grid, folder = math.isqrt(store.shards(docs, text, 8 << 20) - 1) + 1, scratch.folder("model")
     n = grid * grid
 
     def count(batches):
         for batch in batches:
-            for _, _, tokens, offsets in tokens_of(batch.column(0)):
+            for _, _, tokens, offsets in tokens_of(batch.column(0), COUNTED):
                 u, token, before = coded(tokens, offsets)
                 times = np.bincount(token, minlength=len(u)).astype(np.uint32)
                 some = times > 0  # all but the start mark
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
             first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
             c = np.add.reduceat(number[order].astype(np.uint64), first)
             pair, order = pair[first], order[first]
-            files = [store.save(folder, f"pairs-{shard}", x) for x in (pair, np.minimum(c, 0xFFFFFFFF).astype(np.uint32))]
+            files = [store.save(folder, f"pairs-{shard}", x) for x in (pair, c if c.max() >> np.uint64(32) else c.astype(np.uint32))]
             out.append(_row(shard, 9, files, np.array([*[(c == k).sum() for k in (1, 2, 3, 4)], len(c)], np.int64)))
             word, times = _counted(w[order])
             out += list(_send(1, shard_of(word, n), word, times))
@@ -284,7 +284,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
     def apply(batches):
         scale = np.log10(model.tokens + 0.5 * (model.vocabulary + 1))
         for batch in batches:
-            for a, b, tokens, offsets in tokens_of(batch.column(1)):
+            for a, b, tokens, offsets in tokens_of(batch.column(1), SCORED):
                 p, count = score_tokens(model, tokens, offsets)
                 n, at = np.diff(offsets), offsets[:-1]
                 base, total = np.add.reduceat(np.log10(count + 0.5) - scale, at), np.add.reduceat(p, at)
