@@ -3,14 +3,19 @@
 All n-grams have one global order: rare ones first (by a counting sketch of all data, then by hash).
 The order is cut into fragments, so each set falls into segments, one per fragment. Two sets with
 the needed overlap share an n-gram within their prefixes, the first len - ceil(t * len) + 1 n-grams
-in the order, so candidates come from the prefixes; then partial overlaps are counted fragment by
-fragment and summed per pair, and the sums decide.
+in the order, so candidates come from the prefixes, without the n-grams that the sketch shows to be in one text only;
+then partial overlaps are counted fragment by fragment and summed per pair, and the sums decide.
 
-Equal sets are one node. As only components are asked for, a bucket of a prefix n-gram
-offers its nodes one of them, another in each of a few rounds, and each node is compared with the
-nearest of what it is offered; pairs of what is then connected are not compared. Pairs of a node outside the component of the node its bucket offers last and a node of another
-component are, unless parities of hashed members (512 bits a set) already differ in more places than
-the threshold allows, so no link that joins two components is lost and groups of copies cost a linear number of comparisons.
+The sketch has a counter for about each n-gram, up to 2**34 in all; beyond that it tells rare n-grams apart less
+well, so that more prefix n-grams are shuffled, and results stay the same.
+
+Equal sets are one node. As only components are asked for, a bucket of a prefix n-gram offers its
+nodes one of them, that with the most frequent n-grams (of copies, the least edited), and in a second round
+perhaps another; each node is compared with the nearest of what it is offered; buckets within one
+component are closed. Pairs of a node outside the component of the
+node its bucket offers last and a node of another component are compared too, unless parities of
+hashed members (512 bits a set) already differ in more places than the threshold allows, so no link
+that joins two components is lost and groups of copies cost a linear number of comparisons.
 
 Defined results: a null or blank text has an empty set, links with nothing and is its own
 component; with fewer words than a shingle the whole sequence is the one member; null row ids stay,
@@ -20,17 +25,20 @@ texts are read whole; an empty table gives an empty result; other columns are no
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
 from millrace.llm import store
 from millrace.llm.components import components
 
-SKETCH_BITS = 20
-BLOCK_BITS = 14
+BLOCK_BITS = 20
+FLUSH = 1 << 21  # n-grams that a task counts at once
+ONE = 8  # the sketch's code of a count of 1
 
 
 def sets(column: pa.Array, size: int):
@@ -50,32 +58,83 @@ def sets(column: pa.Array, size: int):
         yield a, b, h, cut, K.mix64(sums[cut[1:]] - sums[cut[:-1]] + n.astype(np.uint64))
 
 
-def sketch(docs: DataFrame, text: str, size: int, scratch: store.Scratch) -> np.ndarray:
-    """How many sets hold an n-gram of each hash range: 2**20 counters, whatever the input."""
+def _coded(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.round(8 * np.log2(1 + counts)), 255).astype(np.uint8)
+
+
+class Sketch:
+    """Codes (an eighth of a binary logarithm) of how many sets hold an n-gram of each hash range, at most 255; files by block of ranges."""
+
+    def __init__(self, bits: int, files: dict[int, str]):
+        self.bits, self.files = bits, files
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        block = (at >> BLOCK_BITS).astype(np.uint16)
+        order = np.argsort(block, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(block[order]) != 0)) if len(h) else np.zeros(0, np.int64)
+        out = np.zeros(len(h), np.uint8)
+        for i, j in zip(first.tolist(), np.append(first, len(h))[1:].tolist(), strict=True):
+            own = order[i:j]
+            out[own] = store.mapped(self.files[int(block[own[0]])])[at[own] & ((1 << BLOCK_BITS) - 1)]
+        return out
+
+
+def sketch(docs: DataFrame, text: str, size: int, scratch: store.Scratch) -> Sketch:
+    bits = min(34, max(BLOCK_BITS, math.ceil(math.log2(1 + store.size_in_bytes(docs, text) // 3))))
+    folder, low = scratch.folder("sketch"), 8
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        held, n = [], 0
+
+        def flush():
+            at = np.sort(np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64)
+            block = at >> BLOCK_BITS
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            at &= (1 << BLOCK_BITS) - 1
+            tops, rests = [], []
+            for i, j in zip(first.tolist(), np.append(first, len(at))[1:].tolist(), strict=True):
+                if j - i > 1 << BLOCK_BITS - low:  # low bytes in the order of the counts of high parts
+                    tops.append(np.bincount(at[i:j] >> low, minlength=1 << BLOCK_BITS - low).astype(np.uint32).tobytes())
+                    rests.append(at[i:j].astype(np.uint8).tobytes())
+                else:
+                    tops.append(None)
+                    rests.append(at[i:j].astype(np.uint32).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(block[first].astype(np.int32)), pa.array(tops, pa.binary()), pa.array(rests, pa.binary())], names=["block", "top", "rest"])
+
         for batch in batches:
             for _, _, h, _, _ in sets(batch.column(0), size):
-                total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        width = 1 << BLOCK_BITS
-        for k in range(len(total) // width):
-            part = total[k * width : (k + 1) * width]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        out = np.zeros(1 << BLOCK_BITS, np.int64)
-        for chunk in table.column("counts").chunks:
-            for x in chunk:
-                out += np.frombuffer(x.as_py(), np.int64)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
-
-    parts = docs.select(F.col(text).alias("t")).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in scratch.table(parts, "sketch").collect():  # 64 rows of a fixed size
-        out[r.block << BLOCK_BITS : (r.block + 1) << BLOCK_BITS] = np.frombuffer(bytes(r.counts), np.int64)
-    return out
+                if len(h):
+                    held.append(h)
+                    n += len(h)
+                if n >= FLUSH:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    def add(batches):
+        """Rows come by block."""
+        now, total = None, np.zeros(0, np.int64)
+        for batch in batches:
+            for block, top, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield done(now, total)
+                    now, total = block, np.zeros(1 << BLOCK_BITS, np.int64)
+                at = np.frombuffer(rest, np.uint32 if top is None else np.uint8).astype(np.int64)
+                if top is not None:
+                    at += np.repeat(np.arange(1 << BLOCK_BITS - low) << low, np.frombuffer(top, np.uint32))
+                total += np.bincount(at, minlength=1 << BLOCK_BITS)
+        if now is not None:
+            yield done(now, total)
+
+    def done(block, total):
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([store.save(folder, f"block-{block}", _coded(total))])], names=["block", "file"])
+
+    parts = docs.select(F.col(text).alias("t")).mapInArrow(count, "block int, top binary, rest binary")
+    made = scratch.table(parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, file string"), "sketch-files")
+    return Sketch(bits, {r.block: r.file for r in made.collect()})  # one row for a block of 2**20 counters
 
 
 def parities(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -89,17 +148,16 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8, rounds: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_hash, component_id of every row."""
+def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8, rounds: int = 2, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     scratch = store.Scratch(spark, "jaccard")
-    counts = spark.sparkContext.broadcast(np.minimum(sketch(docs, text, size, scratch), 0xFFFFFFFF).astype(np.uint32))  # 4 MB
+    code = sketch(docs, text, size, scratch)
 
     def ordered(h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's hashes in the global order, and their fragments."""
-        rank = counts.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-        order = np.lexsort((h, rank, row))
+        """Each row's hashes in the global order, and their codes. h ascends within a row."""
+        rank = code(h)
+        order = np.argsort(np.repeat(np.arange(len(cut) - 1) << 8, np.diff(cut)) + rank, kind="stable")
         return h[order], rank[order]
 
     def nodes(batches):
@@ -107,26 +165,29 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
             for a, b, h, cut, own in sets(batch.column(1), size):
                 n = np.diff(cut)
                 signs = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * (b - a) + 1, 8), pa.int32()), _signed(parities(h, cut)))
-                h, _ = ordered(h, cut)
+                h, rank = ordered(h, cut)
                 take = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), _signed(h[K.ranges(cut[:-1], take)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), _signed(own), signs, prefix], names=["doc_id", "n", "s", "signs", "prefix"])
+                at = K.ranges(cut[:-1], take)
+                shared = rank[at] > ONE
+                left = np.add.reduceat(np.append(shared, False), np.cumsum(take) - take, dtype=np.int64) * (take > 0)
+                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(left)), pa.int32()), _signed(h[at[shared]]))
+                middle = np.bincount(np.repeat(np.arange(b - a), n), rank, b - a) / np.maximum(n, 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), _signed(own), pa.array(middle), signs, prefix], names=["doc_id", "n", "s", "m", "x", "prefix"])
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("t"))
-    table = scratch.table(rows.mapInArrow(nodes, f"doc_id {rows.schema[0].dataType.simpleString()}, n long, s long, signs array<long>, prefix array<long>"), "nodes")
+    whole = scratch.table(rows.mapInArrow(nodes, f"doc_id {rows.schema[0].dataType.simpleString()}, n long, s long, m double, x array<long>, prefix array<long>"), "nodes")
+    table = scratch.table(whole.select("doc_id", "n", "s"), "sizes")
     # equal sets collapse first; n-grams of one set only are dropped
-    alike = table.groupBy("s").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
-    own = Window.partitionBy("g")
-    posting = alike.select(F.explode("prefix").alias("g"), "s", "n").select("g", "s", "n", F.count("*").over(own).alias("k"), F.min(F.struct("s", "n")).over(own).alias("p"))
-    posting = scratch.table(posting.filter("k > 1").select("g", "s", "n", F.col("p.s").alias("ps"), F.col("p.n").alias("pn")), "postings")
+    alike = scratch.table(whole.filter("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min("doc_id").alias("d"), F.min("m").alias("m"), F.first("x").alias("x"), F.first("prefix").alias("prefix")), "alike")
+    scratch.remove("nodes")
+    every = alike.select(F.explode("prefix").alias("g"), "s", "n", "m")
+    posting = scratch.table(every.join(every.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "g"), "postings")
+    signs = alike.select("s", "x")
 
     def fits(a: str, b: str):
         """The smaller size is at least the threshold's part of the larger."""
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    def signs_of(some: DataFrame) -> DataFrame:
-        return table.join(some.distinct(), "s", "left_semi").groupBy("s").agg(F.first("signs").alias("x"))
-
     def differ():
         return sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(8)), F.lit(0))
 
@@ -134,26 +195,21 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
         """The parities xa and xb differ in no more places than linked sets can."""
         return (100 + percent) * differ() <= (100 - percent) * (F.col("na") + F.col("nb"))
 
-    def verified(pairs: DataFrame, name: str, nearest: bool = False) -> DataFrame:
-        """The pairs (a, b, na, nb), or for each b that with the nearest parities, that have the needed overlap, from partial overlaps summed over fragments."""
-        for k in "ab":
-            pairs = pairs.join(signs_of(pairs.select(F.col(k).alias("s"))).select(F.col("s").alias(k), F.col("x").alias(f"x{k}")), k)
-        pairs = pairs.filter(near())
-        if nearest:
-            pairs = pairs.groupBy("b").agg(F.min(F.struct(differ().alias("d"), "a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b, na, nb) that have the needed overlap, from partial overlaps summed over fragments."""
         pairs = scratch.table(pairs.select("a", "b", "na", "nb"), f"{name}-pairs")
+        if pairs.isEmpty():
+            return pairs.select("a", "b")
         needed = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-        chosen = table.join(needed, "s", "left_semi").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
+        chosen = alike.join(needed, "s", "left_semi").select(F.col("d").alias("doc_id"))
 
         def segments(batches):
             for batch in batches:
                 for _, _, h, cut, own in sets(batch.column(1), size):
                     h, rank = ordered(h, cut)
-                    # fragments of the order: the rank's magnitude, then the hash
-                    part = ((np.log2(np.maximum(rank, 1)).astype(np.int64) + (h >> np.uint64(61)).astype(np.int64)) % fragments)
-                    row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-                    key = row * fragments + part
-                    order = np.lexsort((h, key))
+                    # fragments of the order: a range of codes, cut on by the hash
+                    key = np.repeat(np.arange(len(cut) - 1) * fragments, np.diff(cut)) + ((rank >> 3) + (h >> np.uint64(61))).astype(np.int64) % fragments
+                    order = K.by_row(h, key, fragments * (len(cut) - 1))
                     k = key[order]
                     start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
                     if not len(start):
@@ -161,58 +217,73 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, fragments: int = 8,
                     lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(k)), pa.int32()), _signed(h[order]))
                     yield pa.RecordBatch.from_arrays([_signed(own[k[start] // fragments]), pa.array((k[start] % fragments).astype(np.int32)), lists], names=["s", "f", "x"])
 
-        reps = rows.join(chosen.select("doc_id"), "doc_id", "left_semi")
-        seg = reps.mapInArrow(segments, "s long, f int, x array<long>").dropDuplicates(["s", "f"])
-        seg = scratch.table(seg, f"{name}-segments")
+        seg = scratch.table(rows.join(chosen, "doc_id", "left_semi").mapInArrow(segments, "s long, f int, x array<long>"), f"{name}-segments")
         left = pairs.join(seg.select(F.col("s").alias("a"), "f", F.col("x").alias("xa")), "a")
         both = left.join(seg.select(F.col("s").alias("b"), "f", F.col("x").alias("xb")), ["b", "f"])
 
         def overlap(batches):
             for batch in batches:
-                out = []
-                xa, xb = batch.column(3), batch.column(4)
-                oa, ob = xa.offsets.to_numpy(), xb.offsets.to_numpy()
-                va, vb = xa.values.to_numpy(), xb.values.to_numpy()
-                for i in range(batch.num_rows):
-                    out.append(len(np.intersect1d(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]], assume_unique=True)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int64())], names=["a", "b", "n", "o"])
-
-        partial = both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "xa", "xb").mapInArrow(overlap, "a long, b long, n long, o long")
-        summed = partial.groupBy("a", "b").agg(F.min("n").alias("n"), F.sum("o").alias("o"))
-        return scratch.table(summed.filter(100 * F.col("o") >= percent * (F.col("n") - F.col("o"))).select("a", "b"), f"{name}-links")
-
-    star = posting.filter((F.col("s") != F.col("ps")) & fits("n", "pn")).select(F.col("ps").alias("a"), F.col("s").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb")).distinct()
-    links = verified(star, "star", nearest=True)
-    known = scratch.table(components(links, scratch, "cc-star"), "roots-star")
-
-    def opened(part: DataFrame, roots: DataFrame, k: int) -> DataFrame:
-        """The nodes of the buckets that hold several components, with the component c and the bucket's hub of round k."""
-        member = part.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("c", F.coalesce("root", "s"))
-        hub = F.max(F.struct(F.xxhash64("s", F.lit(k)).alias("h"), "s", "n", "c")).over(own)
-        found = member.select("g", "s", "n", "c", F.min("c").over(own).alias("lo"), F.max("c").over(own).alias("hi"), hub.alias("hub"))
-        return scratch.table(found.filter("lo < hi").drop("lo", "hi"), f"open{k}")
-
-    # more rounds: buckets that hold several components offer another node
-    open_ = opened(posting, known, 1)
-    for k in range(1, rounds + 1):
-        spoke = open_.filter((F.col("c") != F.col("hub.c")) & fits("n", "hub.n")).select(F.col("hub.s").alias("a"), F.col("s").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
-        links = links.unionByName(verified(spoke, f"spoke{k}", nearest=True))
-        known = scratch.table(components(links, scratch, f"cc-spoke{k}"), f"roots-spoke{k}")
-        open_ = opened(open_, known, k + 1)
-    # what is left: nodes outside the hub's component against the bucket's other components
-    signed = open_.select("g", "s", "n", "c", F.col("hub.c").alias("hc")).join(signs_of(open_.select("s")), "s")
-    a = signed.filter("c != hc").select("g", F.col("s").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"))
-    b = signed.select("g", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "hc", F.col("x").alias("xb"))
-    once = (F.col("cb") == F.col("hc")) | (F.col("a") < F.col("b"))
-    rest = a.join(b, (a["g"] == b["g"]) & (F.col("ca") != F.col("cb")) & once & fits("na", "nb") & near())
-    links = links.unionByName(verified(rest.select("a", "b", "na", "nb").distinct(), "rest"))
-    by_set = table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("d"))
-    roots = scratch.table(components(links, scratch, "cc"), "roots")
-    joined = by_set.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    joined = scratch.table(joined, "sets")
-    named = joined.groupBy("root").agg(F.min("d").alias("component_id"))
-    final = scratch.table(joined.join(named, "root").select("s", "component_id"), "named")
-    return table.join(final, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                xa, xb = batch.column(4), batch.column(5)
+                (oa, va), (ob, vb) = ((x.offsets.to_numpy(), x.values.to_numpy()) for x in (xa, xb))
+                na, nb = np.diff(oa), np.diff(ob)
+                row = np.repeat(np.arange(batch.num_rows), na), np.repeat(np.arange(batch.num_rows), nb)
+                v, r = np.concatenate([va[oa[0] : oa[-1]], vb[ob[0] : ob[-1]]]), np.concatenate(row)
+                order = np.lexsort((v, r))
+                v, r = v[order], r[order]
+                same = (v[1:] == v[:-1]) & (r[1:] == r[:-1])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.bincount(r[1:][same], minlength=batch.num_rows).astype(np.int64))], names=["a", "b", "f", "n", "o"])
+
+        partial = both.select("a", "b", "f", (F.col("na") + F.col("nb")).alias("n"), "xa", "xb").mapInArrow(overlap, "a long, b long, f int, n long, o long")
+        once = partial.groupBy("a", "b", "f").agg(F.min("n").alias("n"), F.max("o").alias("o"))  # a set may come from several rows of one id
+        summed = once.groupBy("a", "b").agg(F.min("n").alias("n"), F.sum("o").alias("o"))
+        found = scratch.table(summed.filter(100 * F.col("o") >= percent * (F.col("n") - F.col("o"))).select("a", "b"), f"{name}-links")
+        scratch.remove(f"{name}-segments")
+        return found
+
+    roots = None  # node, root of the nodes that are linked so far
+
+    def labelled(part: DataFrame) -> DataFrame:
+        return part.withColumn("c", F.col("s")) if roots is None else part.join(roots.select(F.col("node").alias("s"), F.col("root").alias("c")), "s", "left").withColumn("c", F.coalesce("c", "s"))
+
+    def grown(links: DataFrame, name: str) -> DataFrame:
+        """roots with the links, by the components of what they join."""
+        if roots is None:
+            return scratch.table(components(links, scratch, f"cc-{name}"), f"roots-{name}")
+        own = roots.select(F.col("node").alias("s"), F.col("root").alias("c"))
+        for k in "ab":
+            links = links.join(own.select(F.col("s").alias(k), F.col("c").alias(f"c{k}")), k, "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k))
+        new = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, f"cc-{name}").select("node", F.col("root").alias("to"))
+        old = roots.join(new.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        return scratch.table(old.unionByName(new.join(roots, "node", "left_anti").select("node", F.col("to").alias("root"))), f"roots-{name}")
+
+    open_ = posting
+    for k in range(rounds + 1):
+        # what lies in buckets of several components, with the component c and the bucket's node of this round
+        member = labelled(open_.select("g", "s", "n", "m"))
+        first = (F.col("m") if k == 0 else F.col("m") + F.pmod(F.xxhash64("s", F.lit(k)), F.lit(1000)) / 250).alias("h")
+        hub = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct(first, "s", "n", "c")).alias("hub")).filter("lo < hi")
+        open_ = scratch.table(member.join(hub.select("g", F.col("hub.s").alias("hs"), F.col("hub.n").alias("hn"), F.col("hub.c").alias("hc")), "g"), f"open{k}")
+        scratch.remove(f"open{k - 1}" if k else "postings")
+        if open_.isEmpty():
+            break
+        if k < rounds:
+            spoke = open_.filter((F.col("c") != F.col("hc")) & fits("n", "hn")).select(F.col("hs").alias("a"), F.col("s").alias("b"), F.col("hn").alias("na"), F.col("n").alias("nb")).distinct()
+            spoke = spoke.join(signs.toDF("a", "xa"), "a").join(signs.toDF("b", "xb"), "b").filter(near())
+            nearest = spoke.groupBy("b").agg(F.min(F.struct(differ().alias("d"), "a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb")
+            links = verified(nearest, f"spoke{k}")
+        else:  # what is left: nodes outside the hub's component against the bucket's other components
+            signed = open_.join(signs, "s")
+            a = signed.filter("c != hc").select("g", F.col("s").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"))
+            b = signed.select("g", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "hc", F.col("x").alias("xb"))
+            once = (F.col("cb") == F.col("hc")) | (F.col("a") < F.col("b"))
+            rest = a.join(b, (a["g"] == b["g"]) & (F.col("ca") != F.col("cb")) & once & fits("na", "nb") & near())
+            links = verified(rest.select("a", "b", "na", "nb").distinct(), "rest")
+        if not links.isEmpty():
+            roots = grown(links, str(k))
+    own = table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("d"))
+    joined = labelled(own)
+    named = scratch.table(joined.join(joined.groupBy("c").agg(F.min("d").alias("component_id")), "c").select("s", "component_id"), "named")
+    return table.join(named, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
