@@ -1,32 +1,115 @@
-"""Tokens, vocabularies, counts and weights of terms, in long format."""
+"""Tokens, vocabularies, counts and weights of terms, in long format: a row for each text and term that occurs in it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The words that are left out unless a caller gives others.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself "
+    "it its itself they them their theirs themselves what which who whom this that these those am is are was were be "
+    "been being have has had having do does did doing a an the and but if or because as until while of at by for with "
+    "about against between into through during before after above below to from up down in out on off over under again "
+    "further then once here there when where why how all any both each few more most other some such no nor not only own "
+    "same so than too very s t can will just don should now"
+).split()
+
+
+def tokenize(text: Column, stop: list[str] | None = None) -> Column:
+    """Lower-case runs between ASCII punctuation and white space, without stop words (given ones replace the default)."""
+    stop = STOP_WORDS if stop is None else stop
+    words = F.filter(F.split(F.lower(text), r"[\p{Punct}\p{IsWhite_Space}]+"), lambda w: w != "")
+    return F.filter(words, lambda w: ~w.isin(list(stop))) if stop else words
 
-def tokenize(text: Column, stop: list[str] = ()) -> Column:  # type: ignore[assignment]
-    """Lower-case runs between ASCII punctuation and white space, without stop words."""
-    words = F.split(F.lower(text), r"[\p{Punct}\p{IsWhite_Space}]+")
-    return F.filter(words, lambda w: (w != "") & (~w.isin(list(stop)) if stop else F.lit(True)))
 
+def occurrences(docs: DataFrame, id: str, text: str, stop: list[str] | None = None, tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """id, pos, term. tokenizer: a function from text to an array of terms, in place of tokenize()."""
+    terms = tokenizer(F.col(text)) if tokenizer else tokenize(F.col(text), stop)
+    return docs.select(F.col(id), F.posexplode(terms).alias("pos", "term"))
 
-def term_counts(docs: DataFrame, id: str, text: str, stop: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
-    return docs.select(F.col(id), F.explode(tokenize(F.col(text), stop)).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))
+
+def term_counts(docs: DataFrame, id: str, text: str, stop: list[str] | None = None, tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
+    return occurrences(docs, id, text, stop, tokenizer).groupBy(id, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def tfidf(counts: DataFrame, n_docs: DataFrame, id: str, sublinear: bool = False, norm: str | None = "l1") -> DataFrame:
-    """id, term and weight; idf = log10((n + 1) / (df + 1)) + 1. n_docs: one row with n."""
-    df = document_frequency(counts).crossJoin(F.broadcast(n_docs))
+def vocabulary(docs: DataFrame, id: str, text: str, stop: list[str] | None = None) -> DataFrame:
+    """term and index, by first appearance (least id, then position). Only the distinct terms meet in one window."""
+    first = occurrences(docs, id, text, stop).groupBy("term").agg(F.min(F.struct(id, "pos")).alias("at"))
+    return first.select("term", (F.row_number().over(Window.orderBy("at", "term")) - 1).alias("index"))
+
+
+def limited_vocabulary(counts: DataFrame, n_docs: DataFrame, min_df: float = 0.0, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
+    """term and df of the terms in a part of the texts from min_df to max_df, both included; of these the max_features with the greatest df, of ties the least terms."""
+    if not 0 <= min_df < max_df <= 1:
+        raise ValueError("0 <= min_df < max_df <= 1 does not hold")
+    kept = document_frequency(counts).crossJoin(F.broadcast(n_docs)).filter(F.col("df") / F.col("n") >= min_df).filter(F.col("df") / F.col("n") <= max_df).select("term", "df")  # n_docs: one row
+    return kept if max_features is None else kept.orderBy(F.desc("df"), "term").limit(max_features)
+
+
+def inverse_frequency(df: Column, n: Column, smooth: bool = True) -> Column:
+    return F.log10((n + 1) / (df + 1)) + 1 if smooth else F.log10(n / df) + 1
+
+
+def idf(counts: DataFrame, n_docs: DataFrame, smooth: bool = True) -> DataFrame:
+    """term and idf. n_docs: one row with n."""
+    return document_frequency(counts).crossJoin(F.broadcast(n_docs)).select("term", inverse_frequency(F.col("df"), F.col("n"), smooth).alias("idf"))
+
+
+def tfidf(counts: DataFrame, n_docs: DataFrame, id: str, sublinear: bool = False, norm: str | None = "l1", smooth: bool = True) -> DataFrame:
+    """id, term and weight: tf (or 1 + its logarithm) times idf, each text's weights to length 1 by l1 or l2. n_docs: one row with n."""
     tf = F.log10("tf") + 1 if sublinear else F.col("tf").cast("double")
-    w = counts.join(df, "term").select(id, "term", (tf * (F.log10((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("weight"))
+    w = counts.join(idf(counts, n_docs, smooth), "term").select(id, "term", (tf * F.col("idf")).alias("weight"))
     if norm is None:
         return w
     own = Window.partitionBy(id)
     size = F.sum(F.abs("weight")).over(own) if norm == "l1" else F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(own))
     return w.withColumn("weight", F.try_divide(F.col("weight"), size))
+
+
+@dataclass(frozen=True)
+class Vectorizer:
+    """Options of a count or tf-idf vectorizer; set() changes some."""
+
+    stop: list[str] | None = None
+    tokenizer: Callable[[Column], Column] | None = None
+    min_df: float = 0.0
+    max_df: float = 1.0
+    max_features: int | None = None
+    vocabulary: tuple[str, ...] | None = None
+    norm: str | None = "l1"
+    smooth: bool = True
+    sublinear: bool = False
+
+    def set(self, **options) -> Vectorizer:
+        return replace(self, **options)
+
+    def df_limits(self, min_df: float = 0.0, max_df: float = 1.0) -> Vectorizer:
+        """Sets both limits; a side that is not given goes back to its default."""
+        return replace(self, min_df=min_df, max_df=max_df)
+
+    def _n(self, docs: DataFrame) -> DataFrame:
+        return docs.agg(F.count("*").alias("n"))
+
+    def fit(self, docs: DataFrame, id: str, text: str) -> DataFrame:
+        """The terms that transform() counts, in the column term."""
+        if self.vocabulary is not None:
+            return docs.sparkSession.createDataFrame([(t,) for t in self.vocabulary], "term string")
+        return limited_vocabulary(term_counts(docs, id, text, self.stop, self.tokenizer), self._n(docs), self.min_df, self.max_df, self.max_features).select("term")
+
+    def transform(self, docs: DataFrame, terms: DataFrame, id: str, text: str) -> DataFrame:
+        """id, term, tf; terms that are not in the vocabulary do not count."""
+        return term_counts(docs, id, text, self.stop, self.tokenizer).join(terms, "term", "left_semi").select(id, "term", "tf")
+
+    def counts(self, docs: DataFrame, id: str, text: str) -> DataFrame:
+        return self.transform(docs, self.fit(docs, id, text), id, text)
+
+    def weights(self, docs: DataFrame, id: str, text: str) -> DataFrame:
+        return tfidf(self.counts(docs, id, text), self._n(docs), id, self.sublinear, self.norm, self.smooth)
