@@ -161,7 +161,7 @@ query("na_tokens", "orders", lambda d: d.select("o_orderkey", C.na_to_null(_FIEL
 query("infer_type", "orders", lambda d: d.select("o_orderkey", C.infer(_FIELD).alias("kind")), f"SELECT o_orderkey, {_KIND_SQL} AS kind FROM (SELECT o_orderkey, {_NA_SQL} AS t FROM orders)")
 query("infer_widen", "orders", lambda d: d.groupBy((F.col("o_orderkey") % 7).alias("part")).agg(C.widest(C.infer(_FIELD)).alias("kind")), f"SELECT part, ['null', 'long', 'double', 'string'][max(list_position(['null', 'long', 'double', 'string'], {_KIND_SQL}))] AS kind FROM (SELECT o_orderkey % 7 AS part, {_NA_SQL} AS t FROM orders) GROUP BY 1")
 query("from_rows", "region", lambda d: d.sparkSession.createDataFrame([(1, "a"), (2, None)], "k long, v string"), "SELECT CAST(1 AS BIGINT) AS k, 'a' AS v UNION ALL SELECT 2, NULL")
-query("dtype_arith", "customer", lambda d: d.select("c_custkey", r(F.col("c_acctbal") + F.col("c_nationkey"), 2).alias("plus"), r(F.col("c_acctbal") - 1, 2).alias("minus"), r(F.col("c_acctbal") * 2, 2).alias("times"), r(F.try_divide(F.col("c_acctbal"), F.col("c_nationkey")), 3).alias("over")),
-      "SELECT c_custkey, round(c_acctbal + c_nationkey, 2) AS plus, round(c_acctbal - 1, 2) AS minus, round(c_acctbal * 2, 2) AS times, round(c_acctbal / nullif(c_nationkey, 0), 3) AS over FROM customer")
+query("dtype_arith", "customer", lambda d: d.select("c_custkey", r(F.col("c_acctbal") + F.col("c_nationkey"), 2).alias("plus"), r(F.col("c_acctbal") - 1, 2).alias("minus"), r(F.col("c_acctbal") * 2, 2).alias("times"), r(F.try_divide(F.col("c_acctbal"), F.col("c_nationkey") * 7), 5).alias("over")),
+      "SELECT c_custkey, round(c_acctbal + c_nationkey, 2) AS plus, round(c_acctbal - 1, 2) AS minus, round(c_acctbal * 2, 2) AS times, round(c_acctbal / nullif(c_nationkey * 7, 0), 5) AS over FROM customer")
 query("dtype_unary", "customer", lambda d: d.select("c_custkey", (-F.col("c_acctbal")).alias("negative"), C.to_unsigned(F.col("c_acctbal")).alias("unsigned"), F.nullif("c_nationkey", F.lit(3)).isNull().alias("missing"), C.shown(F.nullif("c_nationkey", F.lit(3))).alias("shown")),
       "SELECT c_custkey, -c_acctbal AS negative, greatest(0, CAST(trunc(c_acctbal) AS BIGINT)) AS unsigned, c_nationkey = 3 AS missing, CASE WHEN c_nationkey = 3 THEN 'NAN' ELSE CAST(c_nationkey AS VARCHAR) END AS shown FROM customer")
