@@ -127,11 +127,11 @@ def build(docs: DataFrame, text: str, path: str, scratch: store.Scratch, name: s
 
     def distinct(batches):
         bpe = byte_level(path)
-        seen, checked = np.zeros(1 << _SEEN_BITS, np.uint64), np.zeros(1 << _SEEN_BITS, np.uint64)
+        seen, checked = np.zeros(1 << _SEEN_BITS, np.uint64), np.zeros(1 << _SEEN_BITS, np.uint32)
         for batch in batches:
             found = []
             for pieces in split(batch.column(0), bpe):
-                h, c = pieces.hashes(), pieces.hashes(CHECK)
+                h, c = pieces.hashes(), (pieces.hashes(CHECK) >> np.uint64(32)).astype(np.uint32)
                 slot = (h & np.uint64((1 << _SEEN_BITS) - 1)).astype(np.int64)
                 new = np.flatnonzero(((seen[slot] != h) | (checked[slot] != c)) & (pieces.special < 0))
                 if not len(new):
@@ -155,7 +155,7 @@ def build(docs: DataFrame, text: str, path: str, scratch: store.Scratch, name: s
 
     def encode(table: pa.Table) -> pa.Table:
         bpe = byte_level(path)
-        h, c = (np.frombuffer(b"".join(table.column(x).to_pylist()), np.uint64) for x in ("hashes", "checks"))
+        h, c = (np.frombuffer(b"".join(table.column(x).to_pylist()), t) for x, t in (("hashes", np.uint64), ("checks", np.uint32)))
         h, words, shared = merge(h, c, pa.concat_arrays([x.flatten() for x in table.column("words").chunks]))
         ids = bpe.encode_pieces(words.to_pylist())
         ids = [[] if s else x for x, s in zip(ids, shared.tolist(), strict=True)] if shared.any() else ids
