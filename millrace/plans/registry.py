@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
@@ -153,13 +153,19 @@ def _csv(d: DataFrame, header: bool) -> DataFrame:
 query("scan_csv", "part", lambda d: _csv(d, True), "SELECT p_partkey AS key, p_name AS name, CASE WHEN p_size % 5 <> 0 THEN CAST(p_size AS BIGINT) END AS size, p_retailprice AS price FROM part")
 query("scan_csv_noheader", "part", lambda d: _csv(d, False), "SELECT p_partkey AS Column0, p_name AS Column1, CASE WHEN p_size % 5 <> 0 THEN CAST(p_size AS BIGINT) END AS Column2, p_retailprice AS Column3 FROM part")
 _FIELDS = ["12", "-3", "4.5", "+7", "1e3", ".5", "abc", "n/a", "NaN", " NULL ", " 8 ", "N/a", "NAN", ""]
-_FIELD = F.element_at(F.array(*[F.lit(x) for x in _FIELDS]), (F.col("o_orderkey") % len(_FIELDS) + 1).cast("int"))
+
+
+def field() -> Column:
+    """One of the fields for each row of orders."""
+    return F.element_at(F.array(*[F.lit(x) for x in _FIELDS]), (F.col("o_orderkey") % len(_FIELDS) + 1).cast("int"))
+
+
 _FIELD_SQL = "[" + ", ".join(f"'{x}'" for x in _FIELDS) + f"][o_orderkey % {len(_FIELDS)} + 1]"
 _NA_SQL = f"CASE WHEN trim({_FIELD_SQL}) NOT IN ({', '.join(repr(x) for x in C.NA_TOKENS)}) THEN trim({_FIELD_SQL}) END"
 _KIND_SQL = f"CASE WHEN t IS NULL THEN 'null' WHEN regexp_full_match(t, '\\+?[0-9]+') THEN 'long' WHEN regexp_full_match(t, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'double' ELSE 'string' END"
-query("na_tokens", "orders", lambda d: d.select("o_orderkey", C.na_to_null(_FIELD).alias("v")), f"SELECT o_orderkey, {_NA_SQL} AS v FROM orders")
-query("infer_type", "orders", lambda d: d.select("o_orderkey", C.infer(_FIELD).alias("kind")), f"SELECT o_orderkey, {_KIND_SQL} AS kind FROM (SELECT o_orderkey, {_NA_SQL} AS t FROM orders)")
-query("infer_widen", "orders", lambda d: d.groupBy((F.col("o_orderkey") % 7).alias("part")).agg(C.widest(C.infer(_FIELD)).alias("kind")), f"SELECT part, ['null', 'long', 'double', 'string'][max(list_position(['null', 'long', 'double', 'string'], {_KIND_SQL}))] AS kind FROM (SELECT o_orderkey % 7 AS part, {_NA_SQL} AS t FROM orders) GROUP BY 1")
+query("na_tokens", "orders", lambda d: d.select("o_orderkey", C.na_to_null(field()).alias("v")), f"SELECT o_orderkey, {_NA_SQL} AS v FROM orders")
+query("infer_type", "orders", lambda d: d.select("o_orderkey", C.infer(field()).alias("kind")), f"SELECT o_orderkey, {_KIND_SQL} AS kind FROM (SELECT o_orderkey, {_NA_SQL} AS t FROM orders)")
+query("infer_widen", "orders", lambda d: d.groupBy((F.col("o_orderkey") % 7).alias("part")).agg(C.widest(C.infer(field())).alias("kind")), f"SELECT part, ['null', 'long', 'double', 'string'][max(list_position(['null', 'long', 'double', 'string'], {_KIND_SQL}))] AS kind FROM (SELECT o_orderkey % 7 AS part, {_NA_SQL} AS t FROM orders) GROUP BY 1")
 query("from_rows", "region", lambda d: d.sparkSession.createDataFrame([(1, "a"), (2, None)], "k long, v string"), "SELECT CAST(1 AS BIGINT) AS k, 'a' AS v UNION ALL SELECT 2, NULL")
 query("dtype_arith", "customer", lambda d: d.select("c_custkey", r(F.col("c_acctbal") + F.col("c_nationkey"), 2).alias("plus"), r(F.col("c_acctbal") - 1, 2).alias("minus"), r(F.col("c_acctbal") * 2, 2).alias("times"), r(F.try_divide(F.col("c_acctbal"), F.col("c_nationkey") * 7), 5).alias("over")),
       "SELECT c_custkey, round(c_acctbal + c_nationkey, 2) AS plus, round(c_acctbal - 1, 2) AS minus, round(c_acctbal * 2, 2) AS times, round(c_acctbal / nullif(c_nationkey * 7, 0), 5) AS over FROM customer")

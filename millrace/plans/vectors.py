@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
@@ -11,17 +11,26 @@ from millrace.operators import frame as O
 from millrace.operators import graph
 from millrace.plans.base import query, r
 
-FOUR, FOUR_SQL = F.slice("embedding", 1, 4), "CAST(embedding[1:4] AS DOUBLE[])"
+FOUR_SQL = "CAST(embedding[1:4] AS DOUBLE[])"
 _LIT = "[0.1::DOUBLE, 0.2, 0.3, 0.4]"
-FIRST = F.array(*[F.lit(x) for x in (0.1, 0.2, 0.3, 0.4)])
+
+
+def first() -> Column:
+    return F.array(*[F.lit(x) for x in (0.1, 0.2, 0.3, 0.4)])
+
+
+def four() -> Column:
+    return F.slice("embedding", 1, 4)
+
+
 for _name, _spark, _sql in (
-    ("dist_euclid", lambda: C.euclidean(FOUR, FIRST), f"list_distance({FOUR_SQL}, {_LIT})"),
-    ("dist_manhattan", lambda: C.manhattan(FOUR, FIRST), f"list_sum(list_transform(list_zip({FOUR_SQL}, {_LIT}), lambda x: abs(x[1] - x[2])))"),
-    ("kernel_linear", lambda: C.linear_kernel(FOUR, FIRST), f"list_dot_product({FOUR_SQL}, {_LIT})"),
-    ("kernel_sigmoid", lambda: C.tanh_kernel(FOUR, FIRST, 0.5, 1.0), f"tanh(0.5 * list_dot_product({FOUR_SQL}, {_LIT}) + 1)"),
-    ("norm_l1", lambda: C.norm(FOUR, 1), f"list_sum(list_transform({FOUR_SQL}, lambda x: abs(x)))"),
-    ("norm_l2", lambda: C.norm(FOUR, 2), f"sqrt(list_dot_product({FOUR_SQL}, {FOUR_SQL}))"),
-    ("outer_product", lambda: C.outer(F.transform(FOUR, lambda x: x.cast("double")), FIRST)[1][2], "CAST(embedding[2] AS DOUBLE) * 0.3"),
+    ("dist_euclid", lambda: C.euclidean(four(), first()), f"list_distance({FOUR_SQL}, {_LIT})"),
+    ("dist_manhattan", lambda: C.manhattan(four(), first()), f"list_sum(list_transform(list_zip({FOUR_SQL}, {_LIT}), lambda x: abs(x[1] - x[2])))"),
+    ("kernel_linear", lambda: C.linear_kernel(four(), first()), f"list_dot_product({FOUR_SQL}, {_LIT})"),
+    ("kernel_sigmoid", lambda: C.tanh_kernel(four(), first(), 0.5, 1.0), f"tanh(0.5 * list_dot_product({FOUR_SQL}, {_LIT}) + 1)"),
+    ("norm_l1", lambda: C.norm(four(), 1), f"list_sum(list_transform({FOUR_SQL}, lambda x: abs(x)))"),
+    ("norm_l2", lambda: C.norm(four(), 2), f"sqrt(list_dot_product({FOUR_SQL}, {FOUR_SQL}))"),
+    ("outer_product", lambda: C.outer(F.transform(four(), lambda x: x.cast("double")), first())[1][2], "CAST(embedding[2] AS DOUBLE) * 0.3"),
 ):
     query(_name, "embeddings", lambda d, x=_spark: d.select("vec_id", r(x(), 6).alias("v")), f"SELECT vec_id, round({_sql}, 6) AS v FROM embeddings")
 query("vec_argmax", "embeddings", lambda d: d.select("vec_id", C.argmax(F.col("embedding")).alias("most"), C.argmin(F.col("embedding")).alias("least")), "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS most, CAST(list_position(embedding, list_min(embedding)) - 1 AS INT) AS least FROM embeddings")
@@ -29,7 +38,7 @@ query("enet_threshold", "customer", lambda d: d.select("c_custkey", r(C.elastic_
 
 
 def gram(d: DataFrame) -> DataFrame:
-    a, b = d.filter("vec_id < 20").select(F.col("vec_id").alias("a"), FOUR.alias("va")), d.filter("vec_id < 30").select(F.col("vec_id").alias("b"), FOUR.alias("vb"))
+    a, b = d.filter("vec_id < 20").select(F.col("vec_id").alias("a"), four().alias("va")), d.filter("vec_id < 30").select(F.col("vec_id").alias("b"), four().alias("vb"))
     both = a.join(F.broadcast(b), F.lit(True))  # 20 by 30 rows
     return both.select("a", "b", r(C.linear_kernel(F.col("va"), F.col("vb")), 6).alias("linear"), r(C.rbf(F.col("va"), F.col("vb"), 0.5), 6).alias("rbf"), r(C.polynomial(F.col("va"), F.col("vb"), 1.0, 2), 6).alias("poly"), r(C.tanh_kernel(F.col("va"), F.col("vb"), 0.5, 1.0), 6).alias("sigmoid"))
 

@@ -39,3 +39,10 @@ def test_csv(spark, tmp_path):
     d = read_csv(spark, str(tmp_path / "a.csv"))
     assert d.dtypes == [("name", "string"), ("age", "bigint"), ("w", "double")]
     assert [tuple(x) for x in d.collect()] == [("ann", 3, 1.5), ("bob", None, 2.0)]
+
+
+def test_the_entry_is_imported_without_a_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], check=True, cwd=os.path.dirname(os.path.dirname(__file__)), timeout=120)
