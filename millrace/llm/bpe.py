@@ -1,24 +1,31 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Words are split in Spark, each distinct one is encoded once (see wordtable), ids are joined back
-by position, and decoding joins ids with the pieces they stand for.
+Words are split in Spark, each distinct one is encoded once (see wordtable), and ids are joined
+back by position. Decoding joins every id with its piece; the table of pieces is as long as the
+vocabulary, whatever the corpus, and is broadcast. A broadcast join keeps the order of its rows, so
+the pieces of a row reach the worker one after another without an exchange; it checks that they do.
 
 Defined results: a null text counts as empty and gives no ids; a null or repeated id of a row is
 kept, one result per input row; texts of any length are encoded whole; an empty table gives an
-empty result; other columns of the input, whatever their names, are not touched.
+empty result; other columns of the input, whatever their names, are not touched. In decoding, null
+ids and ids that the vocabulary lacks give nothing, bytes that are not UTF-8 are replaced.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import store, wordtable
 
+BATCH = 1 << 22  # bytes of text in a batch of results
+
 
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of every row, as the tokenizers library encodes without special tokens added."""
@@ -33,39 +40,126 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
     return rows.mapInArrow(apply, f"doc_id {rows.schema[0].dataType.simpleString()}, ids array<int>")
 
 
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """token and piece: the bytes that each id of the vocabulary stands for."""
+    found = wordtable.byte_level(path).bytes_by_id()
+    return spark.createDataFrame(pa.table({"token": pa.array(range(len(found)), pa.int32()), "piece": pa.array(found, pa.binary())}))
+
+
+def joined(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """doc_id, position, token and piece of every id, in order; one row without a position for a row without ids."""
+    tokens = encoded.select(F.col(id).alias("doc_id"), F.posexplode_outer(F.col(ids).cast("array<int>")).alias("position", "token"))
+    return tokens.join(F.broadcast(pieces(encoded.sparkSession, path)), "token", "left").select("doc_id", "position", "token", "piece")
+
+
+def _bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of all values of a column of large_binary, one after another, and where each begins."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return memoryview(data or b""), at
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list]]:
+    """By batch of joined(): where its runs begin, where they end, and the doc_id of each.
+
+    A run that does not begin with the first position continues the last run of the batch before.
+    """
+    last = -1
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        position = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = position == 0
+        if not np.array_equal(position[~first], (np.append(last, position[:-1]) + 1)[~first]):
+            raise RuntimeError("the positions of a row are not in order")
+        last = int(position[-1])
+        begin = np.flatnonzero(first)
+        if not first[0]:
+            begin = np.append(0, begin)
+        yield batch, begin.tolist(), np.append(begin[1:], batch.num_rows).tolist(), batch.column(0).take(pa.array(begin)).to_pylist()
+
+
 def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """doc_id and text: the pieces of all ids, joined. Null ids give an empty text; bytes that are not UTF-8 are replaced."""
+    """doc_id and text: the pieces of all ids, joined. Null ids give an empty text."""
 
     def apply(batches):
-        pieces = wordtable.byte_level(path).bytes_by_id()
-        for batch in batches:
-            texts = [b"".join([pieces[i] for i in x or ()]).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    rows = encoded.select(F.col(id).alias("doc_id"), F.col(ids).alias("i"))
+        keys, parts = [], []
+        kind = None
+        size = 0
+        for batch, begin, end, ks in _runs(batches):
+            kind = batch.column(0).type
+            data, at = _bytes(batch.column(3).fill_null(b"").cast(pa.large_binary()))
+            new = batch.column(1).fill_null(0).take(pa.array(begin)).to_pylist()
+            for a, b, key, p in zip(begin, end, ks, new, strict=True):
+                if p == 0:
+                    if size > BATCH:
+                        yield text(keys, parts, kind)
+                        keys, parts, size = [], [], 0
+                    keys.append(key)
+                    parts.append([])
+                parts[-1].append(bytes(data[at[a] : at[b]]))
+                size += int(at[b] - at[a]) + 64
+        if keys:
+            yield text(keys, parts, kind)
+
+    def text(keys, parts, kind):
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array([b"".join(x).decode("utf-8", "replace") for x in parts], pa.string())], names=["doc_id", "text"])
+
+    rows = joined(encoded, path, id, ids)
     return rows.mapInArrow(apply, f"doc_id {rows.schema[0].dataType.simpleString()}, text string")
 
 
+class _Digest:
+    """The digests of one row, of which parts arrive in order."""
+
+    def __init__(self, key):
+        self.key, self.n, self.ids, self.text, self.decoder = key, 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+
+    def add(self, n: int, decimals: memoryview, piece: memoryview) -> None:
+        """decimals: each id and a comma."""
+        if n:
+            if self.n:
+                self.ids.update(b",")
+            self.ids.update(decimals[:-1])
+            self.n += n
+            self.text.update(self.decoder.decode(piece).encode())
+
+    def result(self) -> tuple:
+        self.text.update(self.decoder.decode(b"", True).encode())
+        return self.key, self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
 def digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """encode() and decode() in one pass, as digests: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    files = tuple(wordtable.build(docs, text, path, store.Scratch(docs.sparkSession, "bpe")))
+    """What encode() and then joined() give, as digests: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    def apply(batches):
-        pieces = wordtable.byte_level(path).bytes_by_id()
-        decimal = [str(i) for i in range(len(pieces))]
-        for batch in batches:
-            for a, b, ids, offsets in wordtable.encoded(batch.column(1), path, files):
-                ids, at = ids.tolist(), offsets.tolist()
-                own = [ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array([len(x) for x in own], pa.int64()),
-                        pa.array([hashlib.sha256(",".join([decimal[i] for i in x]).encode()).hexdigest() for x in own]),
-                        pa.array([hashlib.sha256(b"".join([pieces[i] for i in x]).decode("utf-8", "replace").encode()).hexdigest() for x in own]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+    A row is never held whole after its ids are joined with their pieces.
+    """
 
-    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("t"))
+    def apply(batches):
+        decimals = pa.array([b"%d," % i for i in range(len(wordtable.byte_level(path).bytes_by_id()))], pa.large_binary())
+        done, open_row, kind = [], None, None
+        for batch, begin, end, keys in _runs(batches):
+            kind = batch.column(0).type
+            none = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            new = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False) == 0
+            numbers, number_at = _bytes(decimals.take(batch.column(2).fill_null(0)))
+            data, at = _bytes(batch.column(3).fill_null(b"").cast(pa.large_binary()))
+            for a, b, key in zip(begin, end, keys, strict=True):
+                if new[a]:
+                    if open_row is not None:
+                        done.append(open_row.result())
+                    open_row = _Digest(key)
+                if not none[a]:
+                    open_row.add(b - a, numbers[number_at[a] : number_at[b]], data[at[a] : at[b]])
+            if len(done) >= 4096:
+                yield rows_of(done, kind)
+                done = []
+        if open_row is not None:
+            yield rows_of([*done, open_row.result()], kind)
+
+    def rows_of(done, kind):
+        columns = list(zip(*done, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = joined(encode(docs, path, id, text), path)
     return rows.mapInArrow(apply, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

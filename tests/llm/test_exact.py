@@ -199,3 +199,28 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     t = Tokenizer.from_file(VOCABULARY)
     for i in (1, 33):
         assert sum(r.length for r in got if r.doc_id == i) == len(t.encode(rows[i][1], add_special_tokens=False).ids) + 1
+
+
+def test_rows_that_span_batches_are_decoded_whole(spark):
+    t = Tokenizer.from_file(VOCABULARY)
+    t.no_truncation()
+    long = " ".join(f"{w}{i} \U0001f9eeกé" for i, w in enumerate(WORDS * 400))
+    texts = ["", long, None, "x", "x", long + "é", ""]
+    docs = spark.createDataFrame([(i if i != 3 else None, x, 0) for i, x in enumerate(texts)], "doc_id long, text string, token int").coalesce(1)
+    got = sorted(map(tuple, bpe.digests(docs, VOCABULARY).collect()), key=str)
+    want = []
+    for i, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        back = t.decode(ids, skip_special_tokens=False)
+        want.append((i if i != 3 else None, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    assert got == sorted(want, key=str) and max(x[1] for x in got) > 30000
+    back = sorted((str(r.doc_id), r.text) for r in bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY).collect())
+    assert back == sorted((str(i if i != 3 else None), x or "") for i, x in enumerate(texts))
+    odd = spark.createDataFrame([("a", [None, 10**6, 300]), ("b", None), ("c", []), ("d", [-1])], "doc_id string, ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode(odd, VOCABULARY).collect()} == {"a": t.decode([300], skip_special_tokens=False), "b": "", "c": "", "d": ""}
+
+
+def test_pieces_are_joined_without_an_exchange(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = bpe.joined(bpe.encode(docs, VOCABULARY), VOCABULARY)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
