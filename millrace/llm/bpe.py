@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm import store, wordtable
 
 BATCH = 1 << 22  # bytes of text in a batch of results
+ROWS = 1 << 15  # ids in a batch
 
 
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,10 +47,32 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"token": pa.array(range(len(found)), pa.int32()), "piece": pa.array(found, pa.binary())}))
 
 
-def joined(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """doc_id, position, token and piece of every id, in order; one row without a position for a row without ids."""
-    tokens = encoded.select(F.col(id).alias("doc_id"), F.posexplode_outer(F.col(ids).cast("array<int>")).alias("position", "token"))
-    return tokens.join(F.broadcast(pieces(encoded.sparkSession, path)), "token", "left").select("doc_id", "position", "token", "piece")
+def tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What encode() gives, a row for each id: doc_id, position and token, in order; no position and token for a row without ids."""
+    files = tuple(wordtable.build(docs, text, path, store.Scratch(docs.sparkSession, "bpe")))
+
+    def apply(batches):
+        for batch in batches:
+            for a, b, ids, offsets in wordtable.encoded(batch.column(1), path, files):
+                n = np.diff(offsets)
+                rows = np.maximum(n, 1)
+                row = np.repeat(np.arange(b - a), rows)
+                empty = (n == 0)[row]
+                token = np.zeros(len(row), np.int32)
+                token[~empty] = ids
+                position = np.arange(len(row)) - (np.cumsum(rows) - rows)[row]
+                for i in range(0, len(row), ROWS):
+                    part = slice(i, i + ROWS)
+                    keys = batch.column(0).take(pa.array(row[part] + a))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(position[part].astype(np.int32), mask=empty[part]), pa.array(token[part], mask=empty[part])], names=["doc_id", "position", "token"])
+
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("t"))
+    return rows.mapInArrow(apply, f"doc_id {rows.schema[0].dataType.simpleString()}, position int, token int")
+
+
+def joined(tokens: DataFrame, path: str) -> DataFrame:
+    """doc_id, position, token and piece of every row of a table like tokens(), in its order."""
+    return tokens.join(F.broadcast(pieces(tokens.sparkSession, path)), "token", "left").select("doc_id", "position", "token", "piece")
 
 
 def _bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
@@ -105,7 +128,7 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "ids")
     def text(keys, parts, kind):
         return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array([b"".join(x).decode("utf-8", "replace") for x in parts], pa.string())], names=["doc_id", "text"])
 
-    rows = joined(encoded, path, id, ids)
+    rows = joined(encoded.select(F.col(id).alias("doc_id"), F.posexplode_outer(F.col(ids).cast("array<int>")).alias("position", "token")), path)
     return rows.mapInArrow(apply, f"doc_id {rows.schema[0].dataType.simpleString()}, text string")
 
 
@@ -130,13 +153,15 @@ class _Digest:
 
 
 def digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """What encode() and then joined() give, as digests: doc_id, n_tokens, ids_sha256, decoded_sha256.
+    """What tokens() and then joined() give, as digests: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     A row is never held whole after its ids are joined with their pieces.
     """
 
+    size = len(wordtable.byte_level(path).bytes_by_id())
+
     def apply(batches):
-        decimals = pa.array([b"%d," % i for i in range(len(wordtable.byte_level(path).bytes_by_id()))], pa.large_binary())
+        decimals = pa.array([b"%d," % i for i in range(size)], pa.large_binary())
         done, open_row, kind = [], None, None
         for batch, begin, end, keys in _runs(batches):
             kind = batch.column(0).type
@@ -161,5 +186,5 @@ def digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text")
         columns = list(zip(*done, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = joined(encode(docs, path, id, text), path)
+    rows = joined(tokens(docs, path, id, text), path)
     return rows.mapInArrow(apply, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -222,5 +222,5 @@ def test_rows_that_span_batches_are_decoded_whole(spark):
 
 def test_pieces_are_joined_without_an_exchange(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    plan = bpe.joined(bpe.encode(docs, VOCABULARY), VOCABULARY)._jdf.queryExecution().executedPlan().toString()
+    plan = bpe.joined(bpe.tokens(docs, VOCABULARY), VOCABULARY)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
