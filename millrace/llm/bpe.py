@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Words are split in Spark, each distinct one is encoded once (see wordtable), and ids are joined
-back by position. Decoding joins every id with its piece; the table of pieces is as long as the
-vocabulary, whatever the corpus, and is broadcast. A broadcast join keeps the order of its rows, so
-the pieces of a row reach the worker one after another without an exchange; it checks that they do.
+back by position. Decoding joins the distinct ids of each block of rows with their pieces and joins
+these back by position. The table of pieces is as long as the vocabulary, whatever the corpus, and
+is broadcast; such a join keeps the order of its rows, so the pieces of a block reach the worker
+just before its rows, without an exchange. The worker checks that none is missing.
 
 Defined results: a null text counts as empty and gives no ids; a null or repeated id of a row is
 kept, one result per input row; texts of any length are encoded whole; an empty table gives an
@@ -13,23 +14,20 @@ ids and ids that the vocabulary lacks give nothing, bytes that are not UTF-8 are
 
 from __future__ import annotations
 
-import codecs
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import store, wordtable
 
-BATCH = 1 << 22  # bytes of text in a batch of results
-ROWS = 1 << 15  # ids in a batch
 
-
-def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (array<int>) of every row, as the tokenizers library encodes without special tokens added."""
+def _encoder(docs: DataFrame, path: str, id: str, text: str) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """Rows of an id and a text, and what gives doc_id and ids of batches of them."""
     files = tuple(wordtable.build(docs, text, path, store.Scratch(docs.sparkSession, "bpe")))
 
     def apply(batches):
@@ -37,7 +35,12 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
             for a, b, ids, offsets in wordtable.encoded(batch.column(1), path, files):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
-    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("t"))
+    return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("t")), apply
+
+
+def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and ids (array<int>) of every row, as the tokenizers library encodes without special tokens added."""
+    rows, apply = _encoder(docs, path, id, text)
     return rows.mapInArrow(apply, f"doc_id {rows.schema[0].dataType.simpleString()}, ids array<int>")
 
 
@@ -47,144 +50,99 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"token": pa.array(range(len(found)), pa.int32()), "piece": pa.array(found, pa.binary())}))
 
 
-def tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """What encode() gives, a row for each id: doc_id, position and token, in order; no position and token for a row without ids."""
-    files = tuple(wordtable.build(docs, text, path, store.Scratch(docs.sparkSession, "bpe")))
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows that are not null, and where those of each row begin."""
+    offsets = np.append(0, np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)))
+    flat = column.flatten()
+    if flat.null_count:
+        offsets = np.append(0, np.cumsum(flat.is_valid().to_numpy(zero_copy_only=False)))[offsets]
+        flat = flat.drop_null()
+    return flat.to_numpy(zero_copy_only=False), offsets.astype(np.int64)
 
-    def apply(batches):
-        for batch in batches:
-            for a, b, ids, offsets in wordtable.encoded(batch.column(1), path, files):
-                n = np.diff(offsets)
-                rows = np.maximum(n, 1)
-                row = np.repeat(np.arange(b - a), rows)
-                empty = (n == 0)[row]
-                token = np.zeros(len(row), np.int32)
-                token[~empty] = ids
-                position = np.arange(len(row)) - (np.cumsum(rows) - rows)[row]
-                for i in range(0, len(row), ROWS):
-                    part = slice(i, i + ROWS)
-                    keys = batch.column(0).take(pa.array(row[part] + a))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(position[part].astype(np.int32), mask=empty[part]), pa.array(token[part], mask=empty[part])], names=["doc_id", "position", "token"])
 
-    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("t"))
-    return rows.mapInArrow(apply, f"doc_id {rows.schema[0].dataType.simpleString()}, position int, token int")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch of doc_id and ids first its distinct ids, ascending, as token, then its rows."""
+    for batch in batches:
+        keys = batch.column(0)
+        ids, offsets = _lists(batch.column(1))
+        own = np.unique(ids)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), keys.type), pa.nulls(len(own), pa.list_(pa.int32())), pa.array(own, pa.int32())], names=["doc_id", "ids", "token"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays([keys, lists, pa.nulls(len(keys), pa.int32())], names=["doc_id", "ids", "token"])
 
 
-def joined(tokens: DataFrame, path: str) -> DataFrame:
-    """doc_id, position, token and piece of every row of a table like tokens(), in its order."""
-    return tokens.join(F.broadcast(pieces(tokens.sparkSession, path)), "token", "left").select("doc_id", "position", "token", "piece")
+def joined(rows: DataFrame, path: str, apply: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:
+    """doc_id, ids, token and piece: the blocks of what apply gives of the rows, each token with its piece."""
+    blocks = rows.mapInArrow(lambda batches: _blocks(apply(batches)), f"doc_id {rows.schema[0].dataType.simpleString()}, ids array<int>, token int")
+    return blocks.join(F.broadcast(pieces(rows.sparkSession, path)), "token", "left").select("doc_id", "ids", "token", "piece")
 
 
-def _bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+def _values(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """The bytes of all values of a column of large_binary, one after another, and where each begins."""
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     return memoryview(data or b""), at
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list]]:
-    """By batch of joined(): where its runs begin, where they end, and the doc_id of each.
-
-    A run that does not begin with the first position continues the last run of the batch before.
-    """
-    last = -1
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, list[bytes], list[bytes]]]:
+    """For runs of rows of joined(): doc_id, the number of ids, these in decimals, and the bytes of their pieces."""
+    empty = np.zeros(0, np.int32), pa.array([], pa.large_binary())
+    tokens, found, block_ends = *empty, True
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        position = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        first = position == 0
-        if not np.array_equal(position[~first], (np.append(last, position[:-1]) + 1)[~first]):
-            raise RuntimeError("the positions of a row are not in order")
-        last = int(position[-1])
-        begin = np.flatnonzero(first)
-        if not first[0]:
-            begin = np.append(0, begin)
-        yield batch, begin.tolist(), np.append(begin[1:], batch.num_rows).tolist(), batch.column(0).take(pa.array(begin)).to_pylist()
+        is_token = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        turns = np.flatnonzero(is_token[1:] != is_token[:-1]) + 1
+        for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(is_token)], strict=True):
+            if a == b:
+                continue
+            part = batch.slice(a, b - a)
+            if is_token[a]:
+                if block_ends:
+                    tokens, found = empty
+                tokens = np.append(tokens, part.column(2).to_numpy(zero_copy_only=False))
+                found = pa.concat_arrays([found, part.column(3).fill_null(b"").cast(pa.large_binary())])
+                block_ends = False
+                continue
+            block_ends = True
+            ids, offsets = _lists(part.column(1))
+            p = np.searchsorted(tokens, ids)
+            if len(ids) and (p.max() >= len(tokens) or not np.array_equal(tokens[p], ids)):
+                raise RuntimeError("the piece of an id did not come before its row")
+            p = pa.array(p)
+            numbers = pa.array([b"%d," % i for i in tokens.tolist()], pa.large_binary())
+            out = []
+            for values in (numbers, found):
+                data, at = _values(values.take(p))
+                at = at[offsets].tolist()
+                out.append([bytes(data[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)])
+            yield part.column(0), np.diff(offsets), *out
 
 
 def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id and text: the pieces of all ids, joined. Null ids give an empty text."""
 
     def apply(batches):
-        keys, parts = [], []
-        kind = None
-        size = 0
-        for batch, begin, end, ks in _runs(batches):
-            kind = batch.column(0).type
-            data, at = _bytes(batch.column(3).fill_null(b"").cast(pa.large_binary()))
-            new = batch.column(1).fill_null(0).take(pa.array(begin)).to_pylist()
-            for a, b, key, p in zip(begin, end, ks, new, strict=True):
-                if p == 0:
-                    if size > BATCH:
-                        yield text(keys, parts, kind)
-                        keys, parts, size = [], [], 0
-                    keys.append(key)
-                    parts.append([])
-                parts[-1].append(bytes(data[at[a] : at[b]]))
-                size += int(at[b] - at[a]) + 64
-        if keys:
-            yield text(keys, parts, kind)
-
-    def text(keys, parts, kind):
-        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array([b"".join(x).decode("utf-8", "replace") for x in parts], pa.string())], names=["doc_id", "text"])
-
-    rows = joined(encoded.select(F.col(id).alias("doc_id"), F.posexplode_outer(F.col(ids).cast("array<int>")).alias("position", "token")), path)
-    return rows.mapInArrow(apply, f"doc_id {rows.schema[0].dataType.simpleString()}, text string")
-
-
-class _Digest:
-    """The digests of one row, of which parts arrive in order."""
+        for keys, _, _, texts in _decoded(batches):
+            yield pa.RecordBatch.from_arrays([keys, pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())], names=["doc_id", "text"])
 
-    def __init__(self, key):
-        self.key, self.n, self.ids, self.text, self.decoder = key, 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
-
-    def add(self, n: int, decimals: memoryview, piece: memoryview) -> None:
-        """decimals: each id and a comma."""
-        if n:
-            if self.n:
-                self.ids.update(b",")
-            self.ids.update(decimals[:-1])
-            self.n += n
-            self.text.update(self.decoder.decode(piece).encode())
-
-    def result(self) -> tuple:
-        self.text.update(self.decoder.decode(b"", True).encode())
-        return self.key, self.n, self.ids.hexdigest(), self.text.hexdigest()
+    rows = joined(encoded.select(F.col(id).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")), path)
+    return rows.mapInArrow(apply, f"doc_id {rows.schema[0].dataType.simpleString()}, text string")
 
 
 def digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """What tokens() and then joined() give, as digests: doc_id, n_tokens, ids_sha256, decoded_sha256.
-
-    A row is never held whole after its ids are joined with their pieces.
-    """
-
-    size = len(wordtable.byte_level(path).bytes_by_id())
+    """encode() and decode() as digests: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def apply(batches):
-        decimals = pa.array([b"%d," % i for i in range(size)], pa.large_binary())
-        done, open_row, kind = [], None, None
-        for batch, begin, end, keys in _runs(batches):
-            kind = batch.column(0).type
-            none = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            new = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False) == 0
-            numbers, number_at = _bytes(decimals.take(batch.column(2).fill_null(0)))
-            data, at = _bytes(batch.column(3).fill_null(b"").cast(pa.large_binary()))
-            for a, b, key in zip(begin, end, keys, strict=True):
-                if new[a]:
-                    if open_row is not None:
-                        done.append(open_row.result())
-                    open_row = _Digest(key)
-                if not none[a]:
-                    open_row.add(b - a, numbers[number_at[a] : number_at[b]], data[at[a] : at[b]])
-            if len(done) >= 4096:
-                yield rows_of(done, kind)
-                done = []
-        if open_row is not None:
-            yield rows_of([*done, open_row.result()], kind)
-
-    def rows_of(done, kind):
-        columns = list(zip(*done, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = joined(tokens(docs, path, id, text), path)
+        for keys, n, numbers, texts in _decoded(batches):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    keys,
+                    pa.array(n, pa.int64()),
+                    pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in numbers]),
+                    pa.array([hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in texts]),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    texts, encoder = _encoder(docs, path, id, text)
+    rows = joined(texts, path, encoder)
     return rows.mapInArrow(apply, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
