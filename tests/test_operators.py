@@ -186,3 +186,17 @@ def test_bayes_and_votes(spark):
     assert {r.query: r.prediction for r in E.vote(near, labels, "id", "y", custom=lambda l, f: l[F.size(l) - 1]).collect()} == {9: "p", 8: "q"}
     with pytest.raises(ValueError):
         O.nearest(labels, labels, 1, "id", "y", lambda a, b: F.lit(0.0), most=2)
+
+
+def test_bayes_predicts_every_text_whatever_the_order_of_sums(spark):
+    """Sums that differ from one reading to the next, as those of partial sums in another order do, lose no text."""
+    import random
+
+    jitter = F.udf(lambda: 1 + random.random(), "double").asNondeterministic()
+    counts = spark.createDataFrame([(i, t) for i in range(50) for t in "ab"], "id long, term string").withColumn("tf", jitter())
+    weights = spark.createDataFrame([(t, y, w) for t in "ab" for y, w in (("x", -1.0), ("y", -9.0))], "term string, y string, weight double")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert {(r.id, r.prediction) for r in E.naive_bayes_predict(counts, weights, "id", "y").collect()} == {(i, "x") for i in range(50)}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
