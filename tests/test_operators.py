@@ -200,3 +200,26 @@ def test_bayes_predicts_every_text_whatever_the_order_of_sums(spark):
         assert {(r.id, r.prediction) for r in E.naive_bayes_predict(counts, weights, "id", "y").collect()} == {(i, "x") for i in range(50)}
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_nearest_equals_the_plain_expression(spark):
+    """Blocks, ties of equal vectors, repeated and null ids, null and ragged vectors, components that are not finite."""
+    rng = np.random.default_rng(3)
+    x = [v.astype(np.float32).tolist() for v in np.concatenate([rng.normal(size=(300, 5)), np.ones((60, 5)), rng.normal(size=(40, 5)) * 1e-9 + 1])]
+    x += [None, [1.0, None, 1.0, 1.0, 1.0], [float("nan")] * 5, [float("inf")] + [1.0] * 4, [1.0, 2.0], [2.0, 2.0], [3e200] * 5, [4e200] * 5]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x)] + [(7, x[8]), (7, x[7]), (None, x[9])], "id long, v array<double>").repartition(3)
+    q = d.filter("id % 7 = 0 OR id > 395")
+    same = lambda a, b: C.euclidean(a, b)  # another function: the plain expression
+    for k in (1, 4, 500):
+        got, want = ([tuple(map(str, r)) for r in O.nearest(d, q.dropDuplicates(["id"]).filter("id <> 7"), k, "id", "v", how).select("query", "rank", "distance", "id").orderBy("query", "rank").collect()] for how in (C.euclidean, same))
+        assert got == want and got
+
+
+def test_nearest_makes_no_row_for_a_pair(spark):
+    """What is shuffled are k rows a query and task."""
+    d = spark.range(3000, numPartitions=2).selectExpr("id", "array(sin(id), cos(id * id)) AS v")
+    found = O.nearest(d, d.filter("id % 10 = 0"), 5, "id", "v", C.euclidean)
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().toString()
+    from millrace.operators import search
+
+    assert search.candidates(d, d.filter("id % 10 = 0"), 5, "id", "v").count() == 2 * 300 * 5 and found.count() == 300 * 5
