@@ -223,3 +223,18 @@ def test_nearest_makes_no_row_for_a_pair(spark):
     from millrace.operators import search
 
     assert search.candidates(d, d.filter("id % 10 = 0"), 5, "id", "v").count() == 2 * 300 * 5 and found.count() == 300 * 5
+
+
+def test_quantiles_of_tied_values_send_few_of_them(spark, monkeypatch):
+    """Equal values are counted, not sorted on the driver; NaN is the greatest."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sent, offset = [], DataFrame.offset
+    monkeypatch.setattr(DataFrame, "offset", lambda self, n: (sent.append(n), offset(self, n))[1])
+    d = spark.range(60000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("v"), (F.col("id") * 7919 % 60000).alias("w"), F.when(F.col("id") < 100, float("nan")).otherwise(F.col("id") % 3.0).alias("x"))
+    known = sorted(i % 7 for i in range(60000) if i % 7)
+    for q in (0.0, 0.25, 0.5, 0.75, 1.0):
+        at = min(int(q * 60000), len(known) - 1)
+        assert O.quantile(d, "v", q).first().value == known[at] and O.quantile(d, "w", q).first().value == min(int(q * 60000), 59999)
+    assert np.isnan(O.quantile(d, "x", 1.0).first().value) and O.quantile(d, "x", 0.9).first().value == 2.0
+    assert all(n <= 10000 for n in sent)
