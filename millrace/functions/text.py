@@ -17,12 +17,13 @@ STOP_WORDS = (
     "further then once here there when where why how all any both each few more most other some such no nor not only own "
     "same so than too very s t can will just don should now"
 ).split()
+SEPARATORS = r"[\p{Punct}\p{IsWhite_Space}]+"
 
 
 def tokenize(text: Column, stop: list[str] | None = None) -> Column:
     """Lower-case runs between ASCII punctuation and white space, without stop words (given ones replace the default)."""
     stop = STOP_WORDS if stop is None else stop
-    words = F.filter(F.split(F.lower(text), r"[\p{Punct}\p{IsWhite_Space}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "")
     return F.filter(words, lambda w: ~w.isin(list(stop))) if stop else words
 
 
@@ -32,8 +33,21 @@ def occurrences(docs: DataFrame, id: str, text: str, stop: list[str] | None = No
     return docs.select(F.col(id), F.posexplode(terms).alias("pos", "term"))
 
 
-def term_counts(docs: DataFrame, id: str, text: str, stop: list[str] | None = None, tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
-    return occurrences(docs, id, text, stop, tokenizer).groupBy(id, "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, id: str, text: str, stop: list[str] | None = None, tokenizer: Callable[[Column], Column] | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """id, term, tf; of the terms in terms (column term) alone, if given.
+
+    Texts meet by their id before they are cut into terms, so that counting moves nothing; given terms are looked up before anything is counted.
+    """
+    own = docs.select(F.col(id), F.col(text).alias("_text"))
+    if terms is None:
+        own = own.repartition(F.col(id))
+    words = own.select(F.col(id), F.explode(tokenizer(F.col("_text")) if tokenizer else F.split(F.lower("_text"), SEPARATORS)).alias("term"))
+    if not tokenizer:
+        out = STOP_WORDS if stop is None else stop
+        words = words.filter(~F.col("term").isin(["", *out]))
+    if terms is not None:
+        words = words.join(terms.select("term"), "term", "left_semi")
+    return words.groupBy(id, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -63,12 +77,24 @@ def idf(counts: DataFrame, n_docs: DataFrame, smooth: bool = True) -> DataFrame:
     return document_frequency(counts).crossJoin(F.broadcast(n_docs)).select("term", inverse_frequency(F.col("df"), F.col("n"), smooth).alias("idf"))
 
 
+FREQUENT = 0.001  # of the texts: terms in as many are sent to all tasks
+
+
 def tfidf(counts: DataFrame, n_docs: DataFrame, id: str, sublinear: bool = False, norm: str | None = "l1", smooth: bool = True) -> DataFrame:
-    """id, term and weight: tf (or 1 + its logarithm) times idf, each text's weights to length 1 by l1 or l2. n_docs: one row with n."""
+    """id, term and weight: tf (or 1 + its logarithm) times idf, each text's weights to length 1 by l1 or l2. n_docs: one row with n.
+
+    Frequent terms, at most as many as 1000 texts have terms, are sent to all tasks, so most counts stay where they are; those of
+    other terms meet their idf by an exchange.
+    """
     tf = F.log10("tf") + 1 if sublinear else F.col("tf").cast("double")
-    w = counts.join(idf(counts, n_docs, smooth), "term").select(id, "term", (tf * F.col("idf")).alias("weight"))
+    all_idf = document_frequency(counts).crossJoin(F.broadcast(n_docs)).select("term", inverse_frequency(F.col("df"), F.col("n"), smooth).alias("idf"), (F.col("df") >= F.col("n") * FREQUENT).alias("often"))
+    often = F.broadcast(all_idf.filter("often").select("term", "idf"))
+    weight = (tf * F.col("idf")).alias("weight")
+    near = counts.join(often, "term").select(id, "term", weight)
+    far = counts.join(often, "term", "left_anti").join(all_idf.filter("NOT often").select("term", "idf").hint("merge"), "term").select(id, "term", weight)
     if norm is None:
-        return w
+        return near.unionByName(far)
+    w = near.unionByName(far.repartition(F.col(id)))  # both lie by id where counts are those of term_counts()
     own = Window.partitionBy(id)
     size = F.sum(F.abs("weight")).over(own) if norm == "l1" else F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(own))
     return w.withColumn("weight", F.try_divide(F.col("weight"), size))
@@ -101,12 +127,13 @@ class Vectorizer:
     def fit(self, docs: DataFrame, id: str, text: str) -> DataFrame:
         """The terms that transform() counts, in the column term."""
         if self.vocabulary is not None:
-            return docs.sparkSession.createDataFrame([(t,) for t in self.vocabulary], "term string")
-        return limited_vocabulary(term_counts(docs, id, text, self.stop, self.tokenizer), self._n(docs), self.min_df, self.max_df, self.max_features).select("term")
+            return F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in self.vocabulary], "term string"))
+        terms = limited_vocabulary(term_counts(docs, id, text, self.stop, self.tokenizer), self._n(docs), self.min_df, self.max_df, self.max_features).select("term")
+        return terms if self.max_features is None or self.max_features > 100_000 else F.broadcast(terms)
 
     def transform(self, docs: DataFrame, terms: DataFrame, id: str, text: str) -> DataFrame:
         """id, term, tf; terms that are not in the vocabulary do not count."""
-        return term_counts(docs, id, text, self.stop, self.tokenizer).join(terms, "term", "left_semi").select(id, "term", "tf")
+        return term_counts(docs, id, text, self.stop, self.tokenizer, terms)
 
     def counts(self, docs: DataFrame, id: str, text: str) -> DataFrame:
         return self.transform(docs, self.fit(docs, id, text), id, text)

@@ -238,3 +238,25 @@ def test_quantiles_of_tied_values_send_few_of_them(spark, monkeypatch):
         assert O.quantile(d, "v", q).first().value == known[at] and O.quantile(d, "w", q).first().value == min(int(q * 60000), 59999)
     assert np.isnan(O.quantile(d, "x", 1.0).first().value) and O.quantile(d, "x", 0.9).first().value == 2.0
     assert all(n <= 10000 for n in sent)
+
+
+def test_weights_of_frequent_and_rare_terms(spark):
+    """Repeated and null ids, terms in more and in less than one text of 1000; no exchange of counts but those of rare terms."""
+    import math
+    from collections import Counter
+
+    rows = [(i % 2400 if i % 50 else None, f"often{i % 3} rare{i} rare{i} common word{i % 900}") for i in range(2500)]
+    d = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    counts = Counter((i, t) for i, text in rows for t in text.split())
+    df = Counter(t for _, t in counts)
+    w = {(i, t): n * (math.log10(2501 / (df[t] + 1)) + 1) for (i, t), n in counts.items()}
+    size = Counter()
+    for (i, _), x in w.items():
+        size[i] += x * x
+    found = T.tfidf(T.term_counts(d, "id", "text"), d.agg(F.count("*").alias("n")), "id", norm="l2")
+    got = {(r.id, r.term): r.weight for r in found.collect()}
+    assert set(got) == set(w) and all(abs(got[k] - w[k] / math.sqrt(size[k[0]])) < 1e-9 for k in w)
+    fixed = T.Vectorizer(vocabulary=("common", "rare7")).counts(d, "id", "text")
+    assert {(r.id, r.term): r.tf for r in fixed.collect()} == {k: n for k, n in counts.items() if k[1] in ("common", "rare7")}
+    plan = fixed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")  # looked up before counting
