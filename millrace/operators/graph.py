@@ -1,14 +1,15 @@
-"""Range joins of vectors and connected components."""
+"""Range joins of vectors, connected components and density clusters."""
 
 from __future__ import annotations
 
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
+from millrace.operators import reach
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,8 +56,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def dbscan(df: DataFrame, id: str, vector: str, eps: float, min_points: int, distance=C.euclidean) -> DataFrame:
     """id, core and label of every row: labels number the clusters by their least core row; a row near cores of several is of the least; noise is -1."""
-    from pyspark.sql import Window
-
+    if distance is C.euclidean:
+        return _by_tiles(df, id, vector, eps, min_points)
     near = cut(range_join(df, id, vector, eps, distance).select("a", "b"))
     core = cut(near.groupBy(F.col("a").alias("i")).agg((F.count("*") >= min_points).alias("core")))
     cores = core.filter("core").select("i")
@@ -67,3 +68,39 @@ def dbscan(df: DataFrame, id: str, vector: str, eps: float, min_points: int, dis
     own = near.join(roots.toDF("b", "label"), "b").groupBy(F.col("a").alias("i")).agg(F.min("label").alias("near"))
     found = core.join(roots, "i", "left").join(own, "i", "left").select("i", "core", F.coalesce("label", "near", F.lit(-1)).alias("label"))
     return df.select(F.col(id)).join(found.withColumnRenamed("i", id), id, "left").select(id, F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("label", F.lit(-1)).alias("label"))
+
+
+def _cell(eps: float) -> Column:
+    """The cell of a grid in which all rows are in reach of each other; null where rounding could tell otherwise."""
+    if not eps > 0:
+        return F.lit(None).cast("array<bigint>")
+    at = F.transform("v", lambda x: x / (F.lit(eps * (1 - 1e-5)) / F.sqrt(F.size("v"))))
+    return F.when((F.size("v") > 0) & F.forall(at, lambda x: F.abs(x) < 2.0**30), F.transform(at, lambda x: F.floor(x)))
+
+
+def _by_tiles(df: DataFrame, id: str, vector: str, eps: float, min_points: int) -> DataFrame:
+    """dbscan() by Euclid's distance, without a row for each pair in reach.
+
+    Equal vectors are one point, with a count. Points of a cell with enough rows are cores as such; only those of other cells, of which a cell
+    has fewer than min_points, are compared with the tiles around. The cores of a cell are one node of the components. Points that are no cores
+    have fewer than min_points in reach, which are kept to find their cluster.
+    """
+    rows = df.select(F.col(id), F.col(vector).cast("array<double>").alias("v"))
+    points = rows.filter(F.forall("v", lambda x: F.abs(x) < float("inf"))).groupBy("v").agg(F.min(id).alias("i"), F.count("*").alias("n")).withColumn("cell", _cell(eps))
+    inside = points.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("inside"))
+    dense = (F.coalesce("inside", "n") if eps >= 0 else F.lit(0)) >= min_points
+    points = cut(points.join(inside, "cell", "left").select(F.monotonically_increasing_id().alias("key"), "i", "n", "v", "cell", dense.alias("dense")))
+    around = reach.tiled(points.withColumn("left", ~F.col("dense")), eps, 2 * abs(eps) or 1.0, reach.few(eps, min_points), "key long, total long, near array<long>")
+    around = around.groupBy("key").agg(F.sum("total").alias("total"), F.flatten(F.collect_list("near")).alias("near"))
+    points = cut(points.join(around, "key", "left").withColumn("core", F.col("dense") | F.coalesce(F.col("total") >= min_points, F.lit(False))).withColumn("near", F.when(~F.col("core"), F.col("near"))).drop("dense", "total"))
+    cores = points.filter("core")
+    nodes = cores.filter("cell IS NOT NULL").groupBy("cell").agg(F.min("key").alias("node"))
+    cores = cores.join(nodes, "cell", "left").withColumn("node", F.coalesce("node", "key"))
+    linked = reach.tiled(cores.select(F.col("node").alias("key"), "n", F.lit(True).alias("left"), "v"), eps, 2 * abs(eps) or 1.0, reach.links(eps), "a long, b long", below=True)
+    roots = cores.join(components(linked).toDF("node", "root"), "node", "left").select("key", "i", F.coalesce("root", "node").alias("root"))
+    order = Window.orderBy(F.col("least").asc_nulls_last(), "root")  # one row a cluster
+    labels = roots.groupBy("root").agg(F.min("i").alias("least")).select("root", (F.row_number().over(order) - 1).cast("int").alias("label"))
+    roots = roots.join(labels, "root").select("key", "label")
+    own = points.filter("NOT core").select("key", F.explode("near").alias("b")).join(roots.toDF("b", "label"), "b").groupBy("key").agg(F.min("label").alias("border"))
+    found = points.join(roots, "key", "left").join(own, "key", "left").select("v", "core", F.coalesce("label", "border", F.lit(-1)).alias("label"))
+    return rows.join(found, "v", "left").select(id, F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("label", F.lit(-1)).alias("label"))
