@@ -23,8 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
 def range_join(df: DataFrame, id: str, vector: str, eps: float, distance=C.euclidean, width: int | None = None, axes: int = 2) -> DataFrame:
     """a, b and distance of all ordered pairs of rows, a row with itself included, at most eps apart.
 
-    Projections on unit vectors do not lengthen distances, so rows meet through the cells of a grid of projections, by an equi-join.
+    Rows meet through tiles of space in the workers. For other distances than Euclid's, none of which may be shorter, they meet by an equi-join:
+    projections on unit vectors do not lengthen distances, so it is one of the cells of a grid of projections.
     """
+    if distance is C.euclidean:
+        kind = dict(df.dtypes)[id]
+        rows = df.select(F.col(id).alias("key"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("left"), F.col(vector).alias("v"))
+        return reach.tiled(rows, eps, abs(eps) or 1.0, reach.all_pairs(eps), f"a {kind}, b {kind}, distance double")
     rows = df.select(F.col(id).alias("i"), F.col(vector).alias("v")).filter("v IS NOT NULL")
     if width is None:
         width = rows.agg(F.max(F.size("v"))).first()[0] or 1

@@ -139,6 +139,33 @@ def pairs(x: np.ndarray, y: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndar
     return (q, r, far) if near.all() else (q[near], r[near], far[near])
 
 
+def all_pairs(eps: float) -> Callable:
+    """A kernel: the keys and distances of all pairs of a left and a right row."""
+
+    def kernel(keys, n, side, x):
+        left, right = np.flatnonzero(side >= 2), np.flatnonzero(side & 1)
+        right = right[np.argsort(x[right, 0], kind="stable")] if x.shape[1] else right
+        left = left[np.argsort(x[left, 0], kind="stable")] if x.shape[1] else left
+        for s in range(0, len(left), LEFT):
+            a = left[s : s + LEFT]
+            low, high = _window(x[a], x[right], eps)
+            for t in range(low, high, RIGHT):
+                b = right[t : min(t + RIGHT, high)]
+                q, r, far = pairs(x[a], x[b], eps)
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(a[q])), keys.take(pa.array(b[r])), pa.array(far)], names=["a", "b", "distance"])
+
+    return kernel
+
+
+def _window(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[int, int]:
+    """Where rows in reach of a can lie among those of b, both sorted by their first component."""
+    if not a.shape[1]:
+        return 0, len(b)
+    room = abs(eps) * (1 + 1e-9) + 4e-16 * max(abs(a[0, 0]), abs(a[-1, 0]))
+    return int(np.searchsorted(b[:, 0], a[0, 0] - room)), int(np.searchsorted(b[:, 0], a[-1, 0] + room, "right"))
+
+
 def few(eps: float, least: int) -> Callable:
     """A kernel: for each left row the number of right rows in reach, by n, and their keys; both stop where there are least or more."""
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from millrace.functions import columns as C
 from millrace.operators import graph, reach
 
 
@@ -82,3 +83,22 @@ def test_a_forest_links_what_a_plain_walk_links():
             root = least
         assert len(set(zip(got.tolist(), root.tolist()))) == len(set(got.tolist())) == len(set(root.tolist())) > 1
         assert len(forest.edges) == n - len(set(root.tolist()))
+
+
+@pytest.mark.parametrize("x, eps", [c[1:3] for c in cases()], ids=[c[0] for c in cases()])
+def test_range_join_equals_a_plain_version(spark, x, eps):
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    far = distances(x)
+    df = graph.range_join(d, "id", "v", eps)
+    assert dict(df.dtypes) == {"a": "int", "b": "int", "distance": "double"}
+    assert sorted(map(tuple, df.collect())) == [(int(a), int(b), float(far[a, b])) for a, b in zip(*np.nonzero(far <= eps))]
+
+
+def test_range_join_makes_no_row_for_a_pair_out_of_reach(spark):
+    d = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [0.3, 0.4]), ("c", [0.0]), ("d", [0.4]), ("e", [None, 0.0]), ("f", None), (None, [9.0, 9.0]), ("g", [float("nan"), 0.0])], "id string, v array<float>")
+    df = graph.range_join(d, "id", "v", 0.51)
+    assert "Join" not in df._jdf.queryExecution().toString()
+    got = sorted((str(r.a), str(r.b), round(r.distance, 6)) for r in df.collect())
+    assert got == sorted([(i, i, 0.0) for i in ("a", "b", "c", "d", "None")] + [(*p, 0.5) for p in ("ab", "ba")] + [(*p, 0.4) for p in ("cd", "dc")])
+    plain = {(r.a, r.b) for r in graph.range_join(d.filter("size(v) = 2"), "id", "v", 0.51, C.manhattan).collect()}
+    assert plain == {("a", "a"), ("b", "b"), (None, None)}
