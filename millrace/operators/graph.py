@@ -83,26 +83,42 @@ def _cell(eps: float) -> Column:
     return F.when((F.size("v") > 0) & F.forall(at, lambda x: F.abs(x) < 2.0**30), F.transform(at, lambda x: F.floor(x)))
 
 
-def _by_tiles(df: DataFrame, id: str, vector: str, eps: float, min_points: int) -> DataFrame:
-    """dbscan() by Euclid's distance, without a row for each pair in reach.
+def _points(df: DataFrame, id: str, vector: str, eps: float, min_points: int) -> tuple[DataFrame, DataFrame]:
+    """The rows, and their distinct finite vectors v with a key, the least id i, the number n of rows, a cell, core, and near, the keys in reach of one that is no core.
 
-    Equal vectors are one point, with a count. Points of a cell with enough rows are cores as such; only those of other cells, of which a cell
-    has fewer than min_points, are compared with the tiles around. The cores of a cell are one node of the components. Points that are no cores
-    have fewer than min_points in reach, which are kept to find their cluster.
+    Only points of cells with few rows, fewer than min_points, are compared with the tiles around; those of other cells are cores as such.
     """
     rows = df.select(F.col(id), F.col(vector).cast("array<double>").alias("v"))
     points = rows.filter(F.forall("v", lambda x: F.abs(x) < float("inf"))).groupBy("v").agg(F.min(id).alias("i"), F.count("*").alias("n")).withColumn("cell", _cell(eps))
     inside = points.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("inside"))
-    dense = (F.coalesce("inside", "n") if eps >= 0 else F.lit(0)) >= min_points
+    dense = F.coalesce("inside", "n") >= min_points if eps >= 0 else F.lit(False)
     points = cut(points.join(inside, "cell", "left").select(F.monotonically_increasing_id().alias("key"), "i", "n", "v", "cell", dense.alias("dense")))
     around = reach.tiled(points.withColumn("left", ~F.col("dense")), eps, 2 * abs(eps) or 1.0, reach.few(eps, min_points), "key long, total long, near array<long>")
     around = around.groupBy("key").agg(F.sum("total").alias("total"), F.flatten(F.collect_list("near")).alias("near"))
-    points = cut(points.join(around, "key", "left").withColumn("core", F.col("dense") | F.coalesce(F.col("total") >= min_points, F.lit(False))).withColumn("near", F.when(~F.col("core"), F.col("near"))).drop("dense", "total"))
-    cores = points.filter("core")
-    nodes = cores.filter("cell IS NOT NULL").groupBy("cell").agg(F.min("key").alias("node"))
-    cores = cores.join(nodes, "cell", "left").withColumn("node", F.coalesce("node", "key"))
-    linked = reach.tiled(cores.select(F.col("node").alias("key"), "n", F.lit(True).alias("left"), "v"), eps, 2 * abs(eps) or 1.0, reach.links(eps), "a long, b long", below=True)
-    roots = cores.join(components(linked).toDF("node", "root"), "node", "left").select("key", "i", F.coalesce("root", "node").alias("root"))
+    points = points.join(around, "key", "left").withColumn("core", F.col("dense") | F.coalesce(F.col("total") >= min_points, F.lit(False))).withColumn("near", F.when(~F.col("core"), F.col("near"))).drop("dense", "total")
+    return rows, points
+
+
+def cores(df: DataFrame, id: str, vector: str, eps: float, min_points: int, distance=C.euclidean) -> DataFrame:
+    """id and core of every row, as dbscan() has them, without its clusters."""
+    if distance is not C.euclidean:
+        return dbscan(df, id, vector, eps, min_points, distance).select(id, "core")
+    rows, points = _points(df, id, vector, eps, min_points)
+    return rows.join(points.select("v", "core"), "v", "left").select(id, F.coalesce("core", F.lit(False)).alias("core"))
+
+
+def _by_tiles(df: DataFrame, id: str, vector: str, eps: float, min_points: int) -> DataFrame:
+    """dbscan() by Euclid's distance, without a row for each pair in reach.
+
+    The cores of a cell are one node of the components. Points that are no cores have fewer than min_points in reach, which are kept to find their cluster.
+    """
+    rows, points = _points(df, id, vector, eps, min_points)
+    points = cut(points)
+    inner = points.filter("core")
+    nodes = inner.filter("cell IS NOT NULL").groupBy("cell").agg(F.min("key").alias("node"))
+    inner = inner.join(nodes, "cell", "left").withColumn("node", F.coalesce("node", "key"))
+    linked = reach.tiled(inner.select(F.col("node").alias("key"), "n", F.lit(True).alias("left"), "v"), eps, 2 * abs(eps) or 1.0, reach.links(eps), "a long, b long", below=True)
+    roots = inner.join(components(linked).toDF("node", "root"), "node", "left").select("key", "i", F.coalesce("root", "node").alias("root"))
     order = Window.orderBy(F.col("least").asc_nulls_last(), "root")  # one row a cluster
     labels = roots.groupBy("root").agg(F.min("i").alias("least")).select("root", (F.row_number().over(order) - 1).cast("int").alias("label"))
     roots = roots.join(labels, "root").select("key", "label")

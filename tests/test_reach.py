@@ -16,7 +16,7 @@ def distances(x):
 
 def clusters(x, eps, least):
     near = distances(x) <= eps
-    core = near.sum(1) >= least
+    core = (near.sum(1) >= least) & near.any(1)
     label, n = np.full(len(x), -1), 0
     for i in np.flatnonzero(core):
         if label[i] < 0:
@@ -42,13 +42,17 @@ def cases():
     yield "long vectors", np.repeat(r.normal(size=(6, 12)), 25, 0) + r.normal(size=(150, 12)) * 0.2, 1.0, 5
     yield "equal only", lattice, 0.0, 2
     yield "none", lattice, -1.0, 1
+    yield "none, and no limit", lattice, -1.0, 0
 
 
 @pytest.mark.parametrize("x, eps, least", [c[1:] for c in cases()], ids=[c[0] for c in cases()])
 def test_density_clusters_equal_a_plain_version(spark, monkeypatch, x, eps, least):
     monkeypatch.setattr(graph, "range_join", None)  # no row for each pair in reach
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    assert {r.id: (r.core, r.label) for r in graph.dbscan(d, "id", "v", eps, least).collect()} == clusters(x, eps, least)
+    want = clusters(x, eps, least)
+    assert {r.id: (r.core, r.label) for r in graph.dbscan(d, "id", "v", eps, least).collect()} == want
+    monkeypatch.setattr(graph, "components", None)
+    assert {r.id: r.core for r in graph.cores(d, "id", "v", eps, least).collect()} == {i: core for i, (core, _) in want.items()}
 
 
 def test_dense_rows_are_not_paired(spark, monkeypatch):
